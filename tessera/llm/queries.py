@@ -7,10 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, secrets, warc
+from tessera.llm import exact_dedup, lang_id, secrets, simhash, warc
 from tessera.llm.common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text of ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    model = lang_id.fit(docs)
+    rows = docs.select("doc_id", lang_id.held_out().alias("held_out"), "text")
+    return lang_id.annotate(rows, model, columns=["doc_id", "held_out"])
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of ``documents``."""
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies of ``documents``, one row per document."""
     return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
@@ -74,6 +88,8 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_simhash": op2_simhash,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_warc": op7_warc,
     "op9_secrets": op9_secrets,
