@@ -57,3 +57,10 @@ def discard(spark: SparkSession, *paths: str) -> None:
 def whole(col: str = "text"):
     """The text with null counted as empty."""
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the installed package of public tokenizers keeps ``name``."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, lang_id, secrets, simhash, warc
-from tessera.llm.common import table
+from tessera.llm import bpe, exact_dedup, lang_id, secrets, simhash, warc
+from tessera.llm.common import table, tokenizer_path
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,11 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of ``documents`` encoded and decoded."""
+    return bpe.round_trips(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS len, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS sha,
@@ -93,5 +98,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op7_warc": op7_warc,
     "op9_secrets": op9_secrets,
+    "op10_bpe": op10_bpe,
 }
 SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op7_warc": OP7_SQL, "op9_secrets": OP9_SQL}
