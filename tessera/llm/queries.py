@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, lang_id, secrets, simhash, warc
+from tessera.llm import bpe, exact_dedup, html_text, lang_id, repeats, secrets, simhash, warc
 from tessera.llm.common import table, tokenizer_path
 
 
@@ -25,6 +25,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every one of ``pages``."""
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies of ``documents``, one row per document."""
     return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
@@ -35,6 +40,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of ``documents`` in strings of 50 bytes that a smaller document has."""
+    return repeats.removed(table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of ``documents`` through a new ledger."""
     found = secrets.scan(table(spark, sf_dir, "documents"))
@@ -95,8 +105,10 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_simhash": op2_simhash,
+    "op3_html_text": op3_html_text,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_warc": op7_warc,
+    "op8_repeats": op8_repeats,
     "op9_secrets": op9_secrets,
     "op10_bpe": op10_bpe,
 }
