@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, html_text, lang_id, repeats, secrets, simhash, warc
+from tessera.llm import bpe, exact_dedup, html_text, lang_id, packing, repeats, secrets, simhash, warc
 from tessera.llm.common import table, tokenizer_path
 
 
@@ -35,6 +35,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` packed into sequences."""
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of ``pages`` with revisit records, read back."""
     return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -107,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_html_text": op3_html_text,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_packing": op5_packing,
     "op7_warc": op7_warc,
     "op8_repeats": op8_repeats,
     "op9_secrets": op9_secrets,
