@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, html_text, lang_id, packing, repeats, secrets, simhash, warc
+from tessera.llm import audio, bpe, exact_dedup, html_text, lang_id, packing, repeats, secrets, simhash, warc
 from tessera.llm.common import table, tokenizer_path
 
 
@@ -40,6 +40,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings made of ``embeddings``: those with an id divisible by 20 aligned with all."""
+    return audio.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", vectors=True)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of ``pages`` with revisit records, read back."""
     return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -113,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_text": op3_html_text,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_packing": op5_packing,
+    "op6_audio": op6_audio,
     "op7_warc": op7_warc,
     "op8_repeats": op8_repeats,
     "op9_secrets": op9_secrets,
