@@ -4,7 +4,7 @@
 (pre-aggregated map-side, so a hot payload is one row per map task) and joins it back; the join is
 skew-splittable. ``write_archives`` then makes one WARC/1.1 record per row with fresh headers:
 ``response`` with the payload as its block, or ``revisit`` without a block and with
-``WARC-Refers-To`` naming the response. Archives are plain text files written by Spark's text sink, whose line
+``WARC-Refers-To`` naming the response. Archives are gzipped text files written by Spark's text sink, whose line
 separator is the blank lines that end a WARC record, so they go to any store Spark can write, and
 a lost task's files are not committed. ``read_archives`` reads them by ``Content-Length``, never by searching payloads
 for separators; archives are cut at ``records_per_file`` and read one file at a time.
@@ -17,6 +17,7 @@ all responses; an empty table gives an empty archive; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -92,8 +93,8 @@ def records(resolved: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFram
 
 
 def write_archives(resolved: DataFrame, path: str, records_per_file: int = 2_000) -> None:
-    """Writes the records to text files at ``path``, at most ``records_per_file`` in each."""
-    records(resolved).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    """Writes the records to gzipped text files at ``path``, at most ``records_per_file`` in each."""
+    records(resolved).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -118,7 +119,7 @@ def _read(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.
     for batch in batches:
         for content in batch.column("content"):
             rows = []
-            for head, block in parse(content.as_py()):
+            for head, block in parse(gzip.decompress(content.as_py())):
                 digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
                 to = head.get("X-Refers-To-Page-Id")
                 if to is None and base64.b32encode(hashlib.sha1(block).digest()).decode() != digest:
@@ -130,7 +131,7 @@ def _read(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """One row per record (``RECORDS``); the digests of all payloads are checked. A revisit has no payload of its own."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("content")
     return files.mapInArrow(lambda it: _read(it, with_payload), RECORDS)
 
 
