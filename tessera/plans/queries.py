@@ -1,10 +1,48 @@
-"""Queries over the test tables."""
+"""The library's queries over the test tables, with their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.factors import price, statement  # noqa: F401  they register their factors
+from tessera.factors.spec import REGISTRY, compute, twin
+from tessera.session import ship
+from tessera.sources import panel as source
+
+#: Windows that the weekly test panel can fill; the defaults are days of a market calendar.
+WEEKS = {
+    "LongTermReversal": {"length": 126},
+    "BarraLongTermReversal": {"n": 104, "hl": 26, "least": 52, "lags": (27, 37)},
+    "BarraSeasonality": {"year": 52, "month": 4},
+    "MarketBetaCN": {"n": 52, "long": 156},
+    "PriceRelative52WeekHigh": {"weeks": 26, "per_week": 4},
+}
+
+
+def factor_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    f = REGISTRY[name]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        panel = (source.annual_panel if f.annual else source.panel)(spark, sf_dir)
+        return compute(panel, name, **WEEKS.get(name, {})).select("ts_code", "pos", F.round("value", 6).alias("value"))
+
+    run.__doc__ = f"The {f.family} factor {name} on the weekly panel."
+    return run
+
+
+def factor_sql(name: str) -> str:
+    f = REGISTRY[name]
+    base = source.duck_sql(source.joined_sql() if f.annual else source.weekly_sql())
+    return f"SELECT ts_code, pos, round(value, 6) AS value FROM ({twin(base, name, **WEEKS.get(name, {}))})"
+
 
-QUERIES: dict = {}
-SQL: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"factor_{n}": factor_query(n) for n in REGISTRY}
+SQL: dict[str, str] = {f"factor_{n}": factor_sql(n) for n in REGISTRY}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+    return QUERIES["factor_ROC"](spark, sf_dir)
