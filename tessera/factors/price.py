@@ -158,17 +158,14 @@ def LongTermReversal(e: Sql, length: int) -> Layers:
 @factor("momentum", weeks=52, per_week=5)
 def PriceRelative52WeekHigh(e: Sql, weeks: int, per_week: int) -> Layers:
     """Weeks end where ``pos`` fills a block of ``per_week``; the block of today counts as it stands."""
-    week = f"CAST((pos - pos % {per_week}) / {per_week} AS BIGINT)"
-    ranked = {"wk": week, "have": "CASE WHEN close IS NOT NULL THEN 1 END"}
-    # The last close of each week up to now: the close that no later row of the week within the frame replaces.
-    last = {"nxt": "first(CASE WHEN close IS NOT NULL THEN pos END) OVER (PARTITION BY ts_code, wk ORDER BY pos ROWS BETWEEN CURRENT ROW AND CURRENT ROW)"}
-    done = {"full": "max(CASE WHEN close IS NOT NULL THEN pos END) OVER (PARTITION BY ts_code, wk)"}
-    week_close = {"wc": "CASE WHEN pos = full THEN close END"}
-    count = {"seen": "count(wc) OVER (PARTITION BY ts_code ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"}
-    # Weeks before this one that have a close: this week's running close replaces its final one.
+    ign = "last_value(close IGNORE NULLS)" if e.duck else "last(close, true)"
+    week = {"wk": f"CAST((pos - pos % {per_week}) / {per_week} AS BIGINT)"}
+    # The close of each week on its last day with one, and how many such weeks lie before the week of a row.
+    ends = {"endpos": "max(CASE WHEN close IS NOT NULL THEN pos END) OVER (PARTITION BY ts_code, wk)", "running": f"{ign} OVER (PARTITION BY ts_code, wk ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"}
+    closes = {"wc": "CASE WHEN pos = endpos THEN close END"}
     before = {"w0": "count(wc) OVER (PARTITION BY ts_code ORDER BY wk RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"}
-    high = {"h": f"max(wc) OVER (PARTITION BY ts_code ORDER BY w0 RANGE BETWEEN {weeks - 1} PRECEDING AND 1 PRECEDING)", "running": "last_value(close IGNORE NULLS) OVER (PARTITION BY ts_code, wk ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)" if e.duck else "last(close, true) OVER (PARTITION BY ts_code, wk ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"}
-    return [ranked, last, done, week_close, count, before, high, {"value": f"CASE WHEN running IS NOT NULL AND w0 >= {weeks - 1} AND close IS NOT NULL THEN {e.div('close', 'greatest(h, running)')} END"}]
+    high = {"h": f"max(wc) OVER (PARTITION BY ts_code ORDER BY w0 RANGE BETWEEN {weeks - 1} PRECEDING AND 1 PRECEDING)"}
+    return [week, ends, closes, before, high, {"value": f"CASE WHEN running IS NOT NULL AND w0 >= {weeks - 1} AND close IS NOT NULL THEN {e.div('close', 'greatest(h, running)')} END"}]
 
 
 @factor("momentum", n=252, skip=22)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -46,11 +47,23 @@ def simple(family: str, formulas: dict[str, str]) -> None:
         REGISTRY[name] = Factor(name, family, lambda e, text=text: [{"value": text}])
 
 
+DECIMAL = re.compile(r"(?<![\w.])(\d+\.\d+)(?![\w.])")
+
+
+def doubles(sql: str) -> str:
+    """Numbers with a point as doubles: as decimals they would lose digits in divisions."""
+    return DECIMAL.sub(r"\1e0", sql)
+
+
+#: A value cut to five digits at a point where neat fractions do not tie, so that two engines agree.
+CUT = "CAST(floor(value * 100000e0 + 0.3713e0) AS DOUBLE) / 100000e0"
+
+
 def compute(panel: DataFrame, name: str, **params) -> DataFrame:
     """``ts_code, pos, value`` of a factor on every row of the panel, all days at once."""
     df = panel
     for layer in REGISTRY[name].layers(Sql(), **params):
-        df = df.withColumns({k: F.expr(v) for k, v in layer.items()})
+        df = df.withColumns({k: F.expr(doubles(v)) for k, v in layer.items()})
     return df.select("ts_code", "pos", "value")
 
 
@@ -58,5 +71,5 @@ def twin(panel_sql: str, name: str, **params) -> str:
     """The same factor as DuckDB SQL over a panel query."""
     sql = panel_sql
     for layer in REGISTRY[name].layers(Sql(duck=True), **params):
-        sql = f"SELECT *, {', '.join(f'{v} AS {k}' for k, v in layer.items())} FROM ({sql})"
+        sql = f"SELECT *, {', '.join(f'{doubles(v)} AS {k}' for k, v in layer.items())} FROM ({sql})"
     return f"SELECT ts_code, pos, value FROM ({sql})"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.factors import price, statement  # noqa: F401  they register their factors
-from tessera.factors.spec import REGISTRY, compute, twin
+from tessera.factors.spec import CUT, REGISTRY, compute, twin
 from tessera.session import ship
 from tessera.sources import panel as source
 
@@ -28,7 +28,7 @@ def factor_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
         panel = (source.annual_panel if f.annual else source.panel)(spark, sf_dir)
-        return compute(panel, name, **WEEKS.get(name, {})).select("ts_code", "pos", F.round("value", 6).alias("value"))
+        return compute(panel, name, **WEEKS.get(name, {})).select("ts_code", "pos", F.expr(CUT).alias("value"))
 
     run.__doc__ = f"The {f.family} factor {name} on the weekly panel."
     return run
@@ -37,7 +37,7 @@ def factor_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 def factor_sql(name: str) -> str:
     f = REGISTRY[name]
     base = source.duck_sql(source.joined_sql() if f.annual else source.weekly_sql())
-    return f"SELECT ts_code, pos, round(value, 6) AS value FROM ({twin(base, name, **WEEKS.get(name, {}))})"
+    return f"SELECT ts_code, pos, {CUT} AS value FROM ({twin(base, name, **WEEKS.get(name, {}))})"
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"factor_{n}": factor_query(n) for n in REGISTRY}

@@ -53,18 +53,18 @@ WITH l AS (
          row_number() OVER (PARTITION BY l_suppkey, date_trunc('week', l_shipdate) ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) AS down
   FROM {{lineitem}}
 ), bars AS (
-  SELECT code, wk, round(max(CASE WHEN up = 1 THEN px END), 4) AS open, round(max(px), 4) AS high, round(min(px), 4) AS low, round(max(CASE WHEN down = 1 THEN px END), 4) AS close,
-         sum(q) AS vol, round(sum(amt), 2) AS amount FROM l GROUP BY code, wk
+  SELECT code, wk, CAST(floor((max(CASE WHEN up = 1 THEN px END)) * 100 + 0.3713e0) AS DOUBLE) / 100 AS open, CAST(floor((max(px)) * 100 + 0.3713e0) AS DOUBLE) / 100 AS high, CAST(floor((min(px)) * 100 + 0.3713e0) AS DOUBLE) / 100 AS low, CAST(floor((max(CASE WHEN down = 1 THEN px END)) * 100 + 0.3713e0) AS DOUBLE) / 100 AS close,
+         sum(q) AS vol, CAST(floor((sum(amt)) * 100 + 0.3713e0) AS DOUBLE) / 100 AS amount FROM l GROUP BY code, wk
 ), cal AS (
-  SELECT wk, CAST(row_number() OVER (ORDER BY wk) AS BIGINT) AS pos, round(sum(amount) / sum(vol), 4) AS index_close FROM bars GROUP BY wk
+  SELECT wk, CAST(row_number() OVER (ORDER BY wk) AS BIGINT) AS pos, CAST(floor((sum(amount) / sum(vol)) * 100 + 0.3713e0) AS DOUBLE) / 100 AS index_close FROM bars GROUP BY wk
 ), spine AS (
   SELECT s_suppkey AS code, s_nationkey AS sw_l1_industry, wk, pos, index_close FROM cal CROSS JOIN {{supplier}}
 ), p AS (
   SELECT s.code, s.sw_l1_industry, s.wk AS trade_date, s.pos, s.index_close, open, high, low, close, vol, amount,
-         CAST(100 + s.code % 50 AS DOUBLE) AS total_share, CASE WHEN close IS NOT NULL THEN round(close * (100 + s.code % 50) / 100, 4) END AS total_mv,
-         CASE WHEN close IS NOT NULL THEN round(close * (50 + s.code % 50) / 100, 4) END AS circ_mv, CASE WHEN s.code % 9 = 0 THEN '2' ELSE '1' END AS comp_type,
+         CAST(100 + s.code % 50 AS DOUBLE) AS total_share, CASE WHEN close IS NOT NULL THEN close * (100 + s.code % 50) / 100 END AS total_mv,
+         CASE WHEN close IS NOT NULL THEN close * (50 + s.code % 50) / 100 END AS circ_mv, CASE WHEN s.code % 9 = 0 THEN '2' ELSE '1' END AS comp_type,
          CAST(1.5 + s.pos % 7 / 10.0 AS DOUBLE) AS gc001_weight, CAST((s.pos - 4 - (s.pos - 4) % 13) / 13 - 1 AS BIGINT) AS q,
-         CASE WHEN vol IS NOT NULL THEN round(vol / (100 + s.code % 50), 6) END AS turnover_rate_f
+         CASE WHEN vol IS NOT NULL THEN vol / (100 + s.code % 50) END AS turnover_rate_f
   FROM spine s LEFT JOIN bars b ON s.code = b.code AND s.wk = b.wk
 )
 SELECT code AS ts_code, trade_date, pos, q, sw_l1_industry, index_close, open, high, low, close, vol, amount, total_share, total_mv, circ_mv, comp_type, gc001_weight, turnover_rate_f,
