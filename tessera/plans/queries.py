@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.factors import price, statement  # noqa: F401  they register their factors
 from tessera.factors.spec import CUT, REGISTRY, compute, twin
+from tessera.plans import operator_queries
 from tessera.session import ship
 from tessera.sources import panel as source
 
@@ -42,7 +43,10 @@ def factor_sql(name: str) -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"factor_{n}": factor_query(n) for n in REGISTRY}
 SQL: dict[str, str] = {f"factor_{n}": factor_sql(n) for n in REGISTRY}
+QUERIES |= operator_queries.QUERIES
+SQL |= operator_queries.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["factor_ROC"](spark, sf_dir)
+    """Momentum of the weekly panel and its rank correlation with the return that follows, by week."""
+    return QUERIES["x10_rank_ic"](spark, sf_dir)
