@@ -158,8 +158,8 @@ def loss_and_gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -
     return loss, g
 
 
-def train(pieces: list[bytes], labels: list[str], hidden: int = 8, width: int = 96, epochs: int = 6, batch: int = 256, rate: float = 0.02, seed: int = 7) -> Model:
-    """Fits the network to labelled pieces of text."""
+def train(pieces: list[bytes], labels: list[str], hidden: int = 8, width: int = 96, epochs: int = 6, least_steps: int = 200, batch: int = 256, rate: float = 0.02, seed: int = 7) -> Model:
+    """Fits the network to labelled pieces of text, in ``epochs`` passes, more if they make fewer than ``least_steps`` steps."""
     langs = sorted(set(labels))
     rng = np.random.default_rng(seed)
     p = _new(len(langs), hidden, rng)
@@ -171,7 +171,9 @@ def train(pieces: list[bytes], labels: list[str], hidden: int = 8, width: int =
     y = np.array([langs.index(s) for s in labels])
     m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
     step = 0
-    total = epochs * max(1, -(-len(x) // batch))
+    per_epoch = max(1, -(-len(x) // batch))
+    epochs = max(epochs, -(-least_steps // per_epoch))
+    total = epochs * per_epoch
     for _ in range(epochs):
         order = rng.permutation(len(x))
         for a in range(0, len(x), batch):
