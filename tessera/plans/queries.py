@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.factors import price, statement  # noqa: F401  they register their factors
 from tessera.factors.spec import CUT, REGISTRY, compute, twin
-from tessera.plans import operator_queries
+from tessera.plans import operator_queries, table_queries  # noqa: F401  table_queries adds to operator_queries
 from tessera.session import ship
 from tessera.sources import panel as source
 
