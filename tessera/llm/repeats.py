@@ -34,14 +34,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stage
 from tessera.llm.suffix_array import suffix_array
 
 LEAST = 50
 GRAM = 12
-OWNER_BYTES = 24 << 20
+OWNER_BYTES = 48 << 20
 GROWTH = 3.6
-CHUNK = 4 << 20
 HELD = 12 << 20
 LONGEST = 256
 NO_ID = np.iinfo(np.int64).max
@@ -84,7 +82,7 @@ def runs(text: bytes, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return a, b + least - 1, m[a]
 
 
-def _pack(arrays: list[np.ndarray], text: bytes, level: int = 6) -> bytes:
+def _pack(arrays: list[np.ndarray], text: bytes, level: int = 5) -> bytes:
     head = np.array([len(arrays), *[len(a) for a in arrays], *[a.dtype.itemsize for a in arrays]], np.int64)
     return zstandard.ZstdCompressor(level=level).compress(head.tobytes() + b"".join(a.tobytes() for a in arrays) + text)
 
@@ -111,9 +109,8 @@ class _Sender:
         self.owners, self.least = owners, least
         self.seen: dict[bytes, int] = {}
         self.docs: list[tuple[int, int]] = []
-        self.rows: list[list[tuple[int, int, bytes]]] = [[] for _ in range(owners)]
+        self.rows: list[tuple[list[int], list[int], list[bytes]]] = [([], [], []) for _ in range(owners)]
         self.answers: list[tuple[int, int, bytes]] = []
-        self.held = 0
 
     def add(self, doc: int, mark: int, text: bytes) -> None:
         """Documents must come in the order of their ids."""
@@ -131,29 +128,31 @@ class _Sender:
             if docs[first][0] < doc:
                 spans += (a, b)
             else:
-                rows[o].append((at, a, s))
-                self.held += b - a
+                mine = rows[o]
+                mine[0].append(at)
+                mine[1].append(a)
+                mine[2].append(s)
         if spans:
             self.answers.append((doc, mark, np.array(spans, np.int64).tobytes()))
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         owner, data = [], []
         docs = np.array(self.docs, np.int64).reshape(-1, 2)
-        for o, rows in enumerate(self.rows):
-            if rows:
-                at = np.array([r[0] for r in rows], np.int64)
-                used, short = np.unique(at, return_inverse=True)
-                start = np.array([r[1] for r in rows], np.int64)
-                delta = np.diff(start, prepend=0)  # small within a document
-                size = np.array([len(r[2]) for r in rows], np.int16)
+        for o, (at, start, text) in enumerate(self.rows):
+            if text:
+                used, short = np.unique(np.array(at, np.int64), return_inverse=True)
+                delta = np.diff(np.array(start, np.int64), prepend=0)  # small within a document
+                size = np.fromiter(map(len, text), np.int16, len(text))
                 fit = np.int32 if np.abs(delta).max() < 2**31 else np.int64
                 owner.append(o)
-                data.append(_pack([docs[used, 0], docs[used, 1], np.diff(short, prepend=0).astype(np.int16 if len(used) < 2**15 else np.int32), delta.astype(fit), size], b"".join([r[2] for r in rows])))
+                data.append(_pack([np.diff(docs[used, 0], prepend=0), docs[used, 1], np.diff(short, prepend=0).astype(np.int16 if len(used) < 2**15 else np.int32), delta.astype(fit), size], b"".join(text)))
+                self.rows[o] = ([], [], [])
         empty = [None] * len(owner)
         yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int32()), pa.array(empty, pa.int64()), pa.array(empty, pa.int64()), pa.array(data, pa.binary())], schema=SENT)
         if self.answers:
             i, m, b = zip(*self.answers, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(i), pa.int32()), pa.array(i, pa.int64()), pa.array(m, pa.int64()), pa.array(b, pa.binary())], schema=SENT)
+            to = [x % self.owners for x in m]
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(i, pa.int64()), pa.array(m, pa.int64()), pa.array(b, pa.binary())], schema=SENT)
 
 
 def _send(batches: Iterator[pa.RecordBatch], owners: int, least: int) -> Iterator[pa.RecordBatch]:
@@ -211,37 +210,90 @@ def repeated(strings: list[bytes], owner: np.ndarray, least: int) -> dict[int, n
     return out
 
 
-def _own(blobs: list[bytes], least: int, piece: int = 8 << 20) -> Iterator[tuple[int, int, bytes]]:
+def contexts(text: bytes, size: np.ndarray, least: int, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of runs that are laid one after the other: their anchors, hashes of what is left and right of the anchor, and whether it comes twice.
+
+    A string of ``least`` bytes around an anchor reaches ``half`` bytes to its left or to its right, so runs that share one
+    have the anchor and the ``half`` bytes on one side in common. A side that the run does not have is the run's own number, counted from ``number``.
+    """
+    begin = np.cumsum(size) - size
+    half = (least - GRAM) // 2
+    h = gram_hashes(np.frombuffer(text, np.uint8))
+    valid = h.copy()
+    # Grams that begin in the last bytes of a run reach into the next one.
+    valid[((begin + size)[:, None] - np.arange(1, GRAM)).ravel()] = np.iinfo(np.uint64).max
+    anchor = np.minimum.reduceat(valid, begin)
+    hit = np.flatnonzero(valid == np.repeat(anchor, size))
+    run = np.searchsorted(begin, hit, side="right") - 1
+    first = np.concatenate([[True], run[1:] != run[:-1]])
+    at = hit[first]
+    many = np.bincount(run, minlength=len(size)) > 1
+    c1, c2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+    own = np.arange(number, number + len(size), dtype=np.uint64) * c1
+
+    def side(k: np.ndarray, ok: np.ndarray) -> np.ndarray:
+        """A hash of ``half`` bytes from ``k`` on, by grams that cover them (``half`` is at least ``GRAM``)."""
+        k = np.where(ok, k, begin)
+        out = h[k]
+        for step in range(GRAM, half - GRAM + 1, GRAM):
+            out = out * c1 ^ h[k + step] * c2
+        out = out * c1 ^ h[np.minimum(k + half - GRAM, len(h) - 1)] * c2
+        return np.where(ok, out, own)
+
+    left = side(at - half, at - half >= begin)
+    right = side(at + GRAM, at + GRAM + half <= begin + size)
+    return anchor, left, right, many
+
+
+def may_repeat(of: np.ndarray, left: np.ndarray, right: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Which runs have the context of one side in common with another run of the anchor; all of an anchor that comes twice in a run."""
+    out = many.copy()
+    key = of.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    for x in (left, right):
+        _, inverse, count = np.unique(x ^ key, return_inverse=True, return_counts=True)
+        out |= count[inverse] > 1
+    if many.any():
+        out |= np.isin(of, of[many])
+    return out
+
+
+def _own(blobs: list[bytes], least: int, piece: int = 1 << 20) -> Iterator[tuple[int, int, bytes]]:
     """Answers of one owner: id, mark, and starts and ends of covered stretches."""
-    ids, marks, starts, sizes, texts, firsts = [], [], [], [], [], []
+    ids, marks, starts, sizes, texts, firsts, lefts, rights, several = [], [], [], [], [], [], [], [], []
     for blob in blobs:
         (doc, mark, short, delta, size), text = _unpack(blob)
         short = np.cumsum(short.astype(np.int64))
         size = size.astype(np.int64)
-        begin = np.cumsum(size) - size
-        h = gram_hashes(np.frombuffer(text, np.uint8))
-        # Grams that begin in the last bytes of a run reach into the next one.
-        tail = (begin + size)[:, None] - np.arange(1, GRAM)
-        h[tail.ravel()] = np.iinfo(np.uint64).max
-        firsts.append(np.minimum.reduceat(h, begin))
-        ids.append(doc[short])
+        anchor, left, right, many = contexts(text, size, least, sum(map(len, firsts)))
+        firsts.append(anchor)
+        lefts.append(left)
+        rights.append(right)
+        several.append(many)
+        ids.append(np.cumsum(doc)[short])
         marks.append(mark[short])
         starts.append(np.cumsum(delta.astype(np.int64)))
         sizes.append(size)
         texts.append(text)
-    anchor = np.concatenate(firsts)
-    _, of, count = np.unique(anchor, return_inverse=True, return_counts=True)
-    shared = count[of] > 1
+    _, of, count = np.unique(np.concatenate(firsts), return_inverse=True, return_counts=True)
+    left, right, many = np.concatenate(lefts), np.concatenate(rights), np.concatenate(several)
+    maybe = may_repeat(of, left, right, many) & (count[of] > 1)
     spans: dict[tuple[int, int], list[int]] = {}
     by_anchor: dict[int, dict[bytes, list[tuple[int, int, int]]]] = {}
+    where_of: dict[bytes, int] = {}
     at = 0
     for doc, mark, start, size, text in zip(ids, marks, starts, sizes, texts, strict=True):
         begin = np.cumsum(size) - size
-        for i in np.flatnonzero(shared[at : at + len(size)]).tolist():
+        for i in np.flatnonzero(maybe[at : at + len(size)]).tolist():
             b = int(begin[i])
             s = text[b : b + int(size[i])]
             by_anchor.setdefault(int(of[at + i]), {}).setdefault(s, []).append((int(doc[i]), int(mark[i]), int(start[i])))
+            where_of[s] = at + i
         at += len(size)
+    # Of the distinct runs, those that can share a string with another one.
+    distinct = [(k, s) for k, group in by_anchor.items() if len(group) > 1 for s in group]
+    rows = np.array([where_of[s] for _, s in distinct], np.int64)
+    near = may_repeat(of[rows], left[rows], right[rows], many[rows]) if len(rows) else np.zeros(0, bool)
+    sorts = {s for (_, s), ok in zip(distinct, near, strict=True) if ok}
     strings: list[bytes] = []
     places: list[list[tuple[int, int, int]]] = []
     for group in by_anchor.values():
@@ -250,7 +302,7 @@ def _own(blobs: list[bytes], least: int, piece: int = 8 << 20) -> Iterator[tuple
             for d, m, a in where:
                 if d > low:
                     spans.setdefault((d, m), []).extend((a, a + len(s)))
-            if len(group) > 1:
+            if s in sorts:
                 strings.append(s)
                 places.append([w for w in where if w[0] == low])
     a = 0
@@ -287,7 +339,7 @@ def merged(spans: np.ndarray) -> np.ndarray:
 
 
 def _answer(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by owner; those of owner -1 are answers already."""
+    """Rows come sorted by owner; those with an id are answers already."""
     schema = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("spans", pa.binary())])
 
     def out(blobs: list[bytes]) -> pa.RecordBatch:
@@ -297,9 +349,12 @@ def _answer(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
 
     now, blobs = -1, []
     for batch in batches:
+        known = batch.column(1).is_valid()
+        if known.true_count:
+            part = batch.filter(known)
+            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(3)], schema=schema)
+        batch = batch.filter(batch.column(1).is_null())
         for i, o in enumerate(batch.column(0).to_pylist()):
-            if o < 0:
-                continue
             if o != now and blobs:
                 yield out(blobs)
                 blobs = []
@@ -309,17 +364,21 @@ def _answer(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         yield out(blobs)
 
 
+def marks(docs: DataFrame, id_col: str, text_col: str):
+    """A hash of the row where ids repeat, else 0 (which costs nothing to send)."""
+    repeat = docs.groupBy(F.col(id_col).alias("i")).count().where("count > 1").take(1)
+    return F.xxhash64(id_col, text_col) if repeat else F.lit(0).cast("long")
+
+
 def spans(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, mark, spans``: the covered stretches of each document (binary pieces of starts and ends, not yet merged). ``mark`` tells rows of one id with other texts apart."""
+    """``id, mark, spans``: the covered stretches of each document (binary pieces of starts and ends, not yet merged). ``docs`` has ``_mark``, which tells rows of one id with other texts apart."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, text_col).alias("mark"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col("_mark").alias("mark"), F.col(text_col).alias("text"))
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), round(total * GROWTH / (4 * OWNER_BYTES)))
     owners = max(2 * parts, round(total * GROWTH / OWNER_BYTES), 1)
-    sent = stage(rows.mapInArrow(lambda it: _send(it, owners, least), SENT_SQL), "repeats-runs")
-    known = sent.where("owner < 0").select("id", "mark", F.col("data").alias("spans"))
-    owned = sent.where("owner >= 0").repartition(parts, "owner").sortWithinPartitions("owner").mapInArrow(lambda it: _answer(it, least), "id long, mark long, spans binary")
-    return known.unionByName(owned)
+    sent = rows.mapInArrow(lambda it: _send(it, owners, least), SENT_SQL)
+    return sent.repartition(parts, "owner").sortWithinPartitions("owner").mapInArrow(lambda it: _answer(it, least), "id long, mark long, spans binary")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,8 +400,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def with_spans(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``_spans``: arrays of binary pieces, null where nothing is covered."""
+    docs = docs.withColumn("_mark", marks(docs, id_col, text_col))
     found = spans(docs, least, id_col, text_col).groupBy("id", "mark").agg(F.collect_list("spans").alias("_spans"))
-    rows = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_mark": F.xxhash64(id_col, text_col)})
+    rows = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
     same = (rows["_id"] == found["id"]) & (rows["_mark"] == found["mark"])
     return rows.join(found.hint("shuffle_hash"), same, "left").drop("_id", "_mark", "id", "mark")
 
