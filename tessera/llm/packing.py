@@ -25,6 +25,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import compress, repeat
 from operator import is_
@@ -35,6 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.bpe import byte_alphabet
 from tessera.llm.common import stage
 
 WINDOW = 2048
@@ -42,10 +44,21 @@ END = 1
 SHARD_TOKENS = 8 << 20
 TERMS = 16
 K1, B = 1.2, 0.75
-CACHE = 800_000
+CACHE = 450_000
 SPACES = "\n\t\r\v\f"
-# A run of letters that lower-case to one letter each and are composed already, then marks: the library splits them so.
-SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+# Letters that lower-case to one letter each and are composed already; marks that the library takes together. It splits a
+# word of such letters and marks between the two.
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+BYTES = {b: c for c, b in byte_alphabet().items()}
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and their counts."""
+    s = np.sort(x)
+    edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]])) if len(s) else np.zeros(1, np.int64)
+    return s[edge[:-1]], np.diff(edge)
 
 
 class WordTokenizer:
@@ -62,24 +75,46 @@ class WordTokenizer:
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.words: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {"": b""}
+        self.model = self.lib.model
+        probe = ["the", "été", "straße", "ñ", "!", "...", "?!", "ÿ", "internationalisierung", "__"]
+        self.direct = list(self._single(probe)) == self._lib(probe)
 
     def _lib(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.lib.encode_batch(words, add_special_tokens=False)]
 
+    def _single(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of lower-case words that are one piece each: the model takes them without normalising and splitting again."""
+        tokenize, code = self.model.tokenize, self.kind.char
+        for w in words:
+            yield array(code, [x.id for x in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(BYTES))]).tobytes()
+
     def learn(self, words: set[str]) -> None:
+        """Puts words into the dictionary."""
         if len(self.words) > CACHE:
             self.words = {"": b""}
-        if len(self.parts) > CACHE:
+        if len(self.parts) > 2 * CACHE // 3:
             self.parts = {"": b""}
-        split = {w: (m[1].lower(), m[2]) for w in words if (m := SIMPLE.fullmatch(w))}
-        new = list({p for pair in split.values() for p in pair if p not in self.parts})
-        self.parts.update(zip(new, self._lib(new), strict=True))
-        rest = [w for w in words if w not in split]
+        split, rest, new = [], [], {}
+        for w in words:
+            a = w.rstrip(MARKS)
+            if a.isalpha() and (a.isascii() or LATIN.fullmatch(a)):
+                low, mark = a.lower(), w[len(a) :]
+                split.append((w, low, mark))
+                if low not in self.parts:
+                    new[low] = None
+                if mark not in self.parts:
+                    new[mark] = None
+            else:
+                rest.append(w)
+        fresh = list(new)
+        self.parts.update(zip(fresh, self._single(fresh) if self.direct else self._lib(fresh), strict=True))
         self.words.update(zip(rest, self._lib(rest), strict=True))
-        self.words.update((w, self.parts[a] + self.parts[b]) for w, (a, b) in split.items())
+        parts = self.parts
+        for w, low, mark in split:
+            self.words[w] = parts[low] + parts[mark]
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        cut, got = [], []
+        cut, got, missing = [], [], []
         new: set[str] = set()
         for t in texts:
             for c in SPACES:
@@ -87,17 +122,16 @@ class WordTokenizer:
                     t = t.replace(c, " ")
             words = t.split(" ")
             ids = list(map(self.words.get, words))
-            new.update(compress(words, map(is_, ids, repeat(None))))
+            gaps = list(compress(range(len(ids)), map(is_, ids, repeat(None))))
+            new.update([words[k] for k in gaps])
             cut.append(words)
             got.append(ids)
+            missing.append(gaps)
         self.learn(new)
         out = []
-        for words, ids in zip(cut, got, strict=True):
-            if None in ids:
-                ids = list(map(self.words.get, words))
-                if None in ids:  # the dictionary was emptied meanwhile
-                    self.learn({w for w in words if w not in self.words})
-                    ids = [self.words[w] for w in words]
+        for words, ids, gaps in zip(cut, got, missing, strict=True):
+            for k in gaps:
+                ids[k] = self.words[words[k]]
             out.append(np.frombuffer(b"".join(ids), self.kind))
         return out
 
@@ -147,7 +181,7 @@ def statistics(tokens: DataFrame, size: int, width: int) -> tuple[np.ndarray, in
         df = np.zeros(size, np.int64)
         for batch in batches:
             for b in batch.column(0):
-                df[np.unique(np.frombuffer(b.as_buffer(), f"<u{width}"))] += 1
+                df[distinct(np.frombuffer(b.as_buffer(), f"<u{width}"))[0]] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["term", "df"])
 
@@ -164,20 +198,22 @@ class Index:
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         size = np.array([len(d) for d in docs], np.int64)
-        key = np.concatenate([d.astype(np.int64) for d in docs]) if docs else np.zeros(0, np.int64)
-        key *= len(docs)
-        key += np.repeat(np.arange(len(docs)), size)
-        key.sort()
-        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        tf = np.diff(np.append(edge, len(key))).astype(np.float32)
-        term, self.doc = np.divmod(key[edge], max(1, len(docs)))
-        norm = (K1 * (1 - B + B * size / mean)).astype(np.float32)
-        self.weight = idf[term].astype(np.float32) * tf * np.float32(K1 + 1) / (tf + norm[self.doc])
-        self.begin = np.searchsorted(term, np.arange(len(idf) + 1))
-        # The heaviest terms of each document, for its query.
-        by = np.lexsort((term, -self.weight, self.doc))
-        first = np.searchsorted(self.doc[by], np.arange(len(docs) + 1))
-        self.query = [term[by[a : min(b, a + TERMS)]] for a, b in zip(first, first[1:], strict=False)]
+        norm = K1 * (1 - B + B * size / mean)
+        terms, weights, self.query = [], [], []
+        for k, d in enumerate(docs):
+            t, tf = distinct(d)
+            w = (idf[t] * (tf * (K1 + 1) / (tf + norm[k]))).astype(np.float32)
+            terms.append(t)
+            weights.append(w)
+            # The heaviest terms, for the document's query; ties by id.
+            top = np.flatnonzero(w >= np.partition(w, -TERMS)[-TERMS]) if len(t) > TERMS else np.arange(len(t))
+            self.query.append(t[top[np.argsort(-w[top], kind="stable")[:TERMS]]])
+        count = [len(t) for t in terms]
+        term = np.concatenate(terms) if terms else np.zeros(0, np.uint16)
+        order = np.argsort(term, kind="stable")
+        self.doc = np.repeat(np.arange(len(docs)), count)[order]
+        self.weight = (np.concatenate(weights) if weights else np.zeros(0, np.float32))[order]
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(idf)))])
         self.n = len(docs)
 
     def scores(self, seed: int) -> np.ndarray:
