@@ -189,7 +189,7 @@ def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values = np.concatenate([p[p >= 0] for p in prints]) if prints else np.zeros(0, np.int64)
             ids = part.column(0).to_numpy(zero_copy_only=False)
             asks = part.column(1).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[reps], pa.int64()), pa.array(asks[reps], pa.bool_()), pa.array(values, pa.int64()), pa.array(np.asarray(size, np.int64)[reps])], names=["class_id", "asks", "value", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[reps], pa.string()), pa.array(asks[reps], pa.bool_()), pa.array(values, pa.int64()), pa.array(np.asarray(size, np.int64)[reps])], names=["k", "asks", "value", "n"])
 
 
 def votes_needed(n: int) -> int:
@@ -221,14 +221,15 @@ def align(query: np.ndarray, other: np.ndarray) -> tuple[int, int, int, int] | N
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["class_id", "match_id", "offset", "votes", "overlap", "bit_errors"]
+    names = ["k", "match", "offset", "votes", "overlap", "bit_errors"]
+    kinds = [pa.string(), pa.string(), *[pa.int64()] * 4]
     for batch in batches:
         rows = []
         for q, r, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if found := align(np.frombuffer(a, "<i8"), np.frombuffer(b, "<i8")):
                 rows.append((q, r, *found))
         columns = zip(*rows, strict=True) if rows else [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
 def search(media: DataFrame, id_col: str, media_col: str, vectors: bool = False, query_every: int = 20) -> DataFrame:
@@ -240,19 +241,29 @@ def search(media: DataFrame, id_col: str, media_col: str, vectors: bool = False,
     prints = stage(fingerprints(media, id_col, media_col, vectors), "audio-prints")
     asks = (F.col("id") % query_every == 0) & F.col("id").isNotNull()
     classes = prints.groupBy("print").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("members"), F.coalesce(F.max(asks), F.lit(False)).alias("asks"))
-    classes = stage(classes.where(F.col("class_id").isNotNull()), "audio-classes")
-    values = classes.select("class_id", "asks", "print").mapInArrow(_values, "class_id long, asks boolean, value long, n long")
-    postings = stage(values.groupBy("value", "class_id", "asks", "n").agg(F.count(F.lit(1)).alias("here")), "audio-values")
+    # Ids may repeat with other recordings, so a class is known by its fingerprint's digest.
+    classes = stage(classes.where(F.col("class_id").isNotNull()).withColumn("k", F.sha1("print")), "audio-classes")
+    values = classes.select("k", "asks", "print").mapInArrow(_values, "k string, asks boolean, value long, n long")
+    postings = stage(values.groupBy("value", "k", "asks", "n").agg(F.count(F.lit(1)).alias("here")), "audio-values")
     common = postings.groupBy("value").agg(F.count(F.lit(1)).alias("df"))
     asked = postings.where("asks").join(common, "value")
     # The rarest positions that a match cannot all miss; a query has a bounded number of values (its own length).
     need = F.greatest(F.lit(2), F.ceil(F.col("n") * VOTES))
-    rest = F.sum("here").over(Window.partitionBy("class_id").orderBy("df", "value").rowsBetween(Window.unboundedPreceding, -1))
-    probes = asked.withColumn("before", F.coalesce(rest, F.lit(0))).where(F.col("before") <= F.col("n") - need).select("value", F.col("class_id").alias("q"))
-    pairs = probes.join(postings.select("value", F.col("class_id").alias("r")), "value").select("q", "r").distinct()
-    one = classes.select(F.col("class_id").alias("q"), F.col("print").alias("a"))
-    two = classes.select(F.col("class_id").alias("r"), F.col("print").alias("b"))
-    found = pairs.join(one, "q").join(two, "r").select("q", "r", "a", "b").mapInArrow(_align, "class_id long, match_id long, offset long, votes long, overlap long, bit_errors long")
-    matched = found.join(classes.select(F.col("class_id").alias("match_id"), "members"), "match_id")
-    queries = prints.where(asks).join(classes.select("print", "class_id"), "print").select(F.col("id").alias("query_id"), "class_id")
-    return queries.join(matched, "class_id").select("query_id", "class_id", "match_id", "members", "offset", "votes", "overlap", "bit_errors")
+    rest = F.sum("here").over(Window.partitionBy("k").orderBy("df", "value").rowsBetween(Window.unboundedPreceding, -1))
+    probes = asked.withColumn("before", F.coalesce(rest, F.lit(0))).where(F.col("before") <= F.col("n") - need).select("value", F.col("k").alias("q"))
+    pairs = probes.join(postings.select("value", F.col("k").alias("r")), "value").select("q", "r").distinct()
+    one = classes.select(F.col("k").alias("q"), F.col("print").alias("a"))
+    two = classes.select(F.col("k").alias("r"), F.col("print").alias("b"))
+    found = pairs.join(one, "q").join(two, "r").select("q", "r", "a", "b").mapInArrow(_align, "k string, match string, offset long, votes long, overlap long, bit_errors long")
+    matched = found.join(classes.select(F.col("k").alias("match"), F.col("class_id").alias("match_id"), "members"), "match")
+    queries = prints.where(asks).join(classes.select("print", "class_id", "k"), "print").select(F.col("id").alias("query_id"), "class_id", "k")
+    return queries.join(matched, "k").select("query_id", "class_id", "match_id", "members", "offset", "votes", "overlap", "bit_errors")
+
+
+def summary(matches: DataFrame) -> DataFrame:
+    """One row for each query of ``search``: its class, how many classes and recordings it matches (its own among them), and the
+    best match in another class (fewest differing bits for its overlap, then most votes, then smallest id), null without one."""
+    best = F.struct("match_id", "offset", "votes", "overlap", "bit_errors")
+    other = F.when(F.col("match_id") != F.col("class_id"), F.struct(F.col("bit_errors") / F.col("overlap"), -F.col("votes"), F.col("match_id")))
+    rows = matches.groupBy("query_id", "class_id").agg(F.count(F.lit(1)).alias("n_classes"), F.sum("members").alias("n_recordings"), F.min_by(best, other).alias("best"))
+    return rows.select("query_id", "class_id", "n_classes", "n_recordings", "best.*")

@@ -42,7 +42,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recordings made of ``embeddings``: those with an id divisible by 20 aligned with all."""
-    return audio.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", vectors=True)
+    return audio.summary(audio.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", vectors=True))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
