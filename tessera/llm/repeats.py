@@ -8,7 +8,7 @@ substrings (its anchor). Equal strings have equal anchors, so they meet in one o
 share an anchor and travel as one run, so a byte of text costs about 3.4 bytes before compression
 instead of the ``least`` bytes of a suffix prefix. A map task sorts its documents by id and sends
 a run that it holds several times only for the smallest document; its other documents have their answer at once, so hot
-passages and copies are pre-aggregated. There are several owners for each shuffle partition, as many as keep an owner's text near ``OWNER_BYTES``.
+passages and copies are pre-aggregated. There are ``OWNERS`` owners or more, as many as keep an owner's text near ``OWNER_BYTES``.
 
 *Owners.* Runs whose anchor no other run has cannot repeat and are passed by. Equal runs of several
 documents answer all but the smallest. The distinct runs of an anchor that has several are joined to one
@@ -40,6 +40,7 @@ LEAST = 50
 GRAM = 12
 OWNER_BYTES = 48 << 20
 GROWTH = 3.6
+OWNERS = 64
 HELD = 12 << 20
 LONGEST = 256
 NO_ID = np.iinfo(np.int64).max
@@ -376,7 +377,7 @@ def spans(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col("_mark").alias("mark"), F.col(text_col).alias("text"))
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), round(total * GROWTH / (4 * OWNER_BYTES)))
-    owners = max(2 * parts, round(total * GROWTH / OWNER_BYTES), 1)
+    owners = max(OWNERS, round(total * GROWTH / OWNER_BYTES))
     sent = rows.mapInArrow(lambda it: _send(it, owners, least), SENT_SQL)
     return sent.repartition(parts, "owner").sortWithinPartitions("owner").mapInArrow(lambda it: _answer(it, least), "id long, mark long, spans binary")
 
