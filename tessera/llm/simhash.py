@@ -19,7 +19,7 @@ other id; rows that repeat are each returned; an empty table gives an empty tabl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -178,10 +178,17 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = DISTANCE, l
     return rows.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """The rows whose id is their component's id, with all their columns: one document of each group.
+def with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with ``_key``: the id, after all others where it is null, and the text's hash. Equal keys are rows of one id and one text."""
+    return docs.withColumn("_key", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text")))
 
-    Rows without an id stay only where no row of the group has one; rows that repeat an id stay as one.
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: Callable[..., DataFrame] = near_duplicates, **kw) -> DataFrame:
+    """One document of each component, with all its columns: the one with the smallest id.
+
+    A row without an id stays only where no row of its component has one; rows that repeat an id stay as one for each component.
     """
-    keep = near_duplicates(docs, id_col=id_col, **kw).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["_keep"]), "left_semi").dropDuplicates([id_col])
+    keyed = with_key(docs, id_col, text_col)
+    rows = groups(keyed.select("_key", F.col(text_col).alias("text")), id_col="_key", text_col="text", **kw)
+    keep = rows.select(F.col("component_id").alias("_key")).distinct()
+    return keyed.join(keep, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
