@@ -1,6 +1,64 @@
 import random
 
-from tessera.llm import simhash
+from tessera.llm import shingles, simhash
+
+
+def components_of(rows, linked):
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if linked(rows[i][1], rows[j][1]):
+                a, b = root[i], root[j]
+                root = [b if r == a else r for r in root]
+    return root
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in (a, b))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for _ in range(n):
+        words[rng.randrange(len(words))] = rng.choice("abcdefgh") * rng.randint(5, 9)
+    return " ".join(words)
+
+
+def corpus(rng):
+    base = [[rng.choice("abcdefghij") * rng.randint(1, 4) for _ in range(rng.choice([20, 60, 200]))] for _ in range(8)]
+    rows = [(i, edited(rng, rng.choice(base), rng.choice([0, 1, 1, 2, 3, 4]))) for i in range(200)]
+    return rows + [(300, None), (301, " "), (302, "One"), (303, "one"), (304, "one two"), (305, " ".join(base[0][:15])), (306, " ".join(base[0][:14]))]
+
+
+def test_shingle_components_against_brute_force(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = corpus(rng)
+    root = components_of(rows, lambda a, b: jaccard(a, b) >= 0.8)
+    want = sorted((i, min(j for r, (j, _) in zip(root, rows, strict=True) if r == k)) for k, (i, _) in zip(root, rows, strict=True))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for often in (3, 10**9):  # the order of shingles does not matter
+        monkeypatch.setattr(shingles, "OFTEN", often)
+        assert sorted(map(tuple, shingles.near_duplicates(df).collect())) == want
+    assert sorted(r.doc_id for r in shingles.deduplicate(df).collect()) == sorted({k for _, k in want})
+    assert shingles.near_duplicates(df.limit(0)).count() == shingles.deduplicate(df.limit(0)).count() == 0
+
+
+def test_the_pipeline_drops_near_copies_of_similarity_four_fifths(spark):
+    import corpus_pipeline as pipe
+
+    rng = random.Random(2)
+    words = [rng.choice("abcdefghij") * rng.randint(1, 9) for _ in range(150)]
+    rows, k = [(0, " ".join(words), "x")], 1
+    while len(rows) < 30:
+        t = edited(rng, words, 2)
+        if jaccard(rows[0][1], t) >= 0.8:
+            rows.append((k, t, "x"))
+            k += 1
+    assert any((simhash.fingerprint(rows[0][1]) ^ simhash.fingerprint(t)).bit_count() > 4 for _, t, _ in rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string, note string")
+    got = pipe.near_dedup(spark, df, "").collect()
+    assert [tuple(r) for r in got] == [rows[0]]
 
 
 def test_components_without_ids_and_repeated_ids_keep_a_row_each(spark):
@@ -8,5 +66,5 @@ def test_components_without_ids_and_repeated_ids_keep_a_row_each(spark):
     a, b, c, d = (" ".join(rng.choice("abcdefghij") * rng.randint(1, 9) for _ in range(80)) for _ in range(4))
     rows = [(None, a), (None, a + " "), (None, b), (5, c), (5, d), (None, c), (5, d)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = simhash.deduplicate(df).collect()
-    assert sorted((str(r.doc_id), r.text.strip()) for r in kept) == sorted([("None", a), ("None", b), ("5", c), ("5", d)])
+    for kept in (simhash.deduplicate(df), shingles.deduplicate(df)):
+        assert sorted((str(r.doc_id), r.text.strip()) for r in kept.collect()) == sorted([("None", a), ("None", b), ("5", c), ("5", d)])
