@@ -4,8 +4,9 @@ The standard library's parser gives events; nothing is kept of the page but its
 block boundaries, the number of tags in it, and the containers around it. Lines inside page furniture
 (navigation, page headers, footers, sidebars, forms, adverts, notices, reader comments, scripts ...) are marked by
 element, role or class words and take no part. The text-to-tag ratios of the other lines are smoothed with a Gaussian
-and split into two clusters at the threshold between their means; the region is the deepest container that holds nearly all text of
-the content cluster, inside ``article`` or ``main`` where a page has them. All lines of the region are the text, short ones
+and split into two clusters at the threshold between their means; the region is ``article`` or ``main`` where a page has them (the clusters play no
+part there), else the deepest container that holds the whole content cluster, all headings and list
+items, and every other line of ``PROSE`` characters a tag: only lines that are nearly all tags can stay outside. All lines of the region are the text, short ones
 too: blocks in page order, white space collapsed, joined by a line feed.
 
 Defined results: null or empty html, and a page without content, give the empty text; unclosed and stray tags are closed as browsers
@@ -31,6 +32,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 CONTAINER = frozenset("article main section div td body center table tbody tr ul ol dl blockquote html".split())
+OUTLINE = frozenset("h1 h2 h3 h4 h5 h6 li dt dd".split())
 FURNITURE = frozenset("head nav footer aside form script style noscript template iframe object svg canvas button select textarea dialog menu math audio video title".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 FURNITURE_WORDS = frozenset(
@@ -40,15 +42,17 @@ PAGE_HEADER_WORDS = frozenset("header masthead topbar".split())
 # Which open elements a start tag closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LIMITS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+#: Characters a tag from which a line is text, in the content cluster or not.
+PROSE = 5
 WORD = re.compile(r"[a-z]+")
 
 
 class Lines(HTMLParser):
-    """Gathers (text, tags, path of container numbers, within article, within main) of the lines that are not furniture."""
+    """Gathers (text, tags, path of container numbers, outermost landmark, in a heading or list) of the lines that are not furniture."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], str, bool]] = []
         self.open: list[tuple[str, bool]] = []  # element, furniture
         self.path: list[int] = []
         self.landmarks: list[str] = []
@@ -60,7 +64,7 @@ class Lines(HTMLParser):
     def end_line(self) -> None:
         line = " ".join("".join(self.text).split())
         if line:
-            self.lines.append((line, self.tags, tuple(self.path), self.landmarks[0] if self.landmarks else ""))
+            self.lines.append((line, self.tags, tuple(self.path), self.landmarks[0] if self.landmarks else "", any(t in OUTLINE for t, _ in self.open)))
         self.text, self.tags = [], 0
 
     def is_furniture(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -179,18 +183,16 @@ def main_text(html: str | None) -> str:
     marked = [x for x in lines if x[3] == "article"] or [x for x in lines if x[3]]
     lines = marked or lines
     size = np.array([len(x[0]) for x in lines], float)
-    high = content_cluster(smooth(size / np.maximum(1, [x[1] for x in lines])))
+    ratio = size / np.maximum(1, [x[1] for x in lines])
+    high = content_cluster(smooth(ratio))
     paths = [x[2] for x in lines]
-    weight = size * high
+    held = high | (ratio >= PROSE) | np.array([x[4] for x in lines])
     level, inside = 0, np.ones(len(lines), bool)
-    while not marked:  # go down while one container holds nearly all of the cluster's text
-        by: dict[int, float] = {}
-        for k in np.flatnonzero(inside):
-            if len(paths[k]) > level:
-                by[paths[k][level]] = by.get(paths[k][level], 0) + weight[k]
-        best = max(by, key=by.get, default=None)
-        if best is None or by[best] < 0.9 * weight[inside].sum():
+    while not marked:  # go down while one container holds all that is text
+        best = {paths[k][level] if len(paths[k]) > level else None for k in np.flatnonzero(inside & held)}
+        if len(best) != 1 or None in best:
             break
+        best = best.pop()
         inside &= np.array([len(p) > level and p[level] == best for p in paths])
         level += 1
     return "\n".join(x[0] for x, y in zip(lines, inside, strict=True) if y)
