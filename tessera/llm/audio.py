@@ -6,18 +6,20 @@ Fourier transform into the energy of 12 pitch classes; frames are smoothed over
 any size; a filter's log ratio of two areas becomes 2 bits (a Gray code), and 16 filters make one packed 32-bit integer
 for each position. Positions whose window holds a silent frame have none.
 
-``search`` aligns recordings. Equal fingerprints are one class, the smallest id standing for it. A query
+``search`` and ``links`` align recordings. Equal fingerprints are one class, the smallest id standing for it. A query
 and a recording match if the best bin of the histogram of their offsets has at least ``VOTES`` of the query's integers
-and the bits over the overlap at that offset differ by at most ``ERROR``. Candidates are found exactly: a match shares ``v`` integers,
-so it shares one of any ``n - v + 1`` of the query's ``n`` positions; the rarest are looked up, and common values never
-multiply. Both fingerprints are then compared.
+and the bits over the overlap at that offset differ by at most ``ERROR``. The queries are laid in blocks of about ``BLOCK`` integers; a task holds
+one block as an inverted index and aligns a share of all recordings with it, so a recording is copied once for each block, common
+integers never multiply rows, and nothing is missed. ``search`` gives all pairs of classes. ``links`` gives what grows with the recordings only: inside a
+task matches are counted, the best is kept, and a forest of links (each matched recording to one query, each query to one of its
+component) goes out.
 
 Tables without media can be given some by ``sonify``: a vector becomes a melody, one note for each component, its pitch
 class being the component's interval of a normal distribution, after a pause that depends on the id.
 
-Defined results: null, empty or unreadable audio, null or empty vectors and recordings without a sounding window have the
-empty fingerprint and match nothing; null vector components and ones that are not numbers count as 0; null ids are never queries and
-stand for a class only without another id; an empty table gives an empty table; other columns are ignored.
+Defined results: null, empty or unreadable audio, null or empty vectors and recordings without a sounding window match nothing
+and have a row of their own in ``links``; null vector components and ones that are not numbers count as 0; null ids are never queries and
+stand for a class only without another id; rows that repeat are each counted; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,11 +31,11 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.llm.common import stage
+from tessera.llm.components import components
 
 RATE, FRAME, HOP = 4000, 1024, 256
 NOTE = 512
@@ -43,6 +45,8 @@ SPAN = 16
 STEP = 0.35
 VOTES = 0.15
 ERROR = 0.3
+#: Integers of the queries that a task holds, and how many times the queries of a block the recordings of a task are.
+BLOCK, SHARE = 2_000_000, 4
 #: Filters (kind, first pitch class, pitch classes, frames), made by a rule: each kind at four places and sizes.
 FILTERS = [(kind, (3 * i + 2 * kind) % 9, 3 + (i + kind) % 2, (4, 8, 12, 16)[i]) for kind in range(4) for i in range(4)]
 GRAY = np.array([0, 1, 3, 2], np.uint32)
@@ -179,91 +183,186 @@ def fingerprints(media: DataFrame, id_col: str, media_col: str, vectors: bool =
     return rows.mapInArrow(lambda it: _prints(it, vectors), "id long, print binary")
 
 
-def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a in range(0, batch.num_rows, 512):
-            part = batch.slice(a, 512)
-            prints = [np.frombuffer(p, "<i8") for p in part.column(2).to_pylist()]
-            size = [int((p >= 0).sum()) for p in prints]
-            reps = np.repeat(np.arange(len(prints)), size)
-            values = np.concatenate([p[p >= 0] for p in prints]) if prints else np.zeros(0, np.int64)
-            ids = part.column(0).to_numpy(zero_copy_only=False)
-            asks = part.column(1).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[reps], pa.string()), pa.array(asks[reps], pa.bool_()), pa.array(values, pa.int64()), pa.array(np.asarray(size, np.int64)[reps])], names=["k", "asks", "value", "n"])
-
-
 def votes_needed(n: int) -> int:
     return max(2, ceil(VOTES * n))
 
 
-def align(query: np.ndarray, other: np.ndarray) -> tuple[int, int, int, int] | None:
-    """Offset (position in the other minus position in the query), votes, overlap in integers and differing bits; None without a match."""
-    sounding = np.flatnonzero(query >= 0)
-    order = np.argsort(other, kind="stable")
-    sorted_other = other[order]
-    a, b = np.searchsorted(sorted_other, query[sounding]), np.searchsorted(sorted_other, query[sounding], side="right")
-    n = b - a
-    if not n.sum():
-        return None
-    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    offsets = order[np.repeat(a, n) + within] - np.repeat(sounding, n)
-    bins, count = np.unique(offsets, return_counts=True)
-    best = int(np.argmax(count))  # ties: the smallest offset
-    votes, offset = int(count[best]), int(bins[best])
-    if votes < votes_needed(len(sounding)):
-        return None
-    q = query[max(0, -offset) : len(other) - offset]
-    r = other[max(0, offset) : max(0, offset) + len(q)]
-    q = q[: len(r)]
-    both = (q >= 0) & (r >= 0)
-    bits = int(np.bitwise_count(q[both] ^ r[both]).sum())
-    return (offset, votes, int(both.sum()), bits) if bits <= ERROR * 32 * both.sum() else None
-
-
-def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["k", "match", "offset", "votes", "overlap", "bit_errors"]
-    kinds = [pa.string(), pa.string(), *[pa.int64()] * 4]
+class Block:
+    """An inverted index of the integers of some queries, against which recordings are aligned one at a time."""
+
+    def __init__(self, prints: list[np.ndarray]):
+        self.prints = prints
+        where = [np.flatnonzero(p >= 0) for p in prints]
+        size = np.array([len(w) for w in where], np.int64)
+        self.need = np.array([votes_needed(n) for n in size.tolist()], np.int64)
+        values = np.concatenate([p[w] for p, w in zip(prints, where, strict=True)]) if prints else np.zeros(0, np.int64)
+        order = np.argsort(values, kind="stable")
+        self.values = values[order]
+        self.query = np.repeat(np.arange(len(prints)), size)[order]
+        self.at = (np.concatenate(where) if where else np.zeros(0, np.int64))[order]
+        self.longest = max((len(p) for p in prints), default=0)
+
+    def votes(self, other: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queries with their best offset (position in ``other`` minus position in the query; ties: the smallest) and its votes, where those suffice."""
+        sounding = np.flatnonzero(other >= 0)
+        a, b = np.searchsorted(self.values, other[sounding]), np.searchsorted(self.values, other[sounding], side="right")
+        n = b - a
+        span = self.longest + len(other) + 1
+        bins, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        cuts = np.flatnonzero(np.diff(np.cumsum(n) // most, prepend=0)) if n.sum() > most else np.zeros(0, np.int64)
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(n)], strict=True):
+            part = n[lo:hi]
+            if not part.sum():
+                continue
+            hit = np.repeat(a[lo:hi] - (np.cumsum(part) - part), part) + np.arange(part.sum())
+            code = self.query[hit] * span + (np.repeat(sounding[lo:hi], part) - self.at[hit] + self.longest)
+            new, times = np.unique(code, return_counts=True)
+            bins, back = np.unique(np.concatenate([bins, new]), return_inverse=True)
+            count = np.bincount(back, np.concatenate([count, times]), len(bins)).astype(np.int64)
+        query = bins // span
+        order = np.lexsort((bins, -count, query))
+        first = order[np.concatenate([[True], query[order][1:] != query[order][:-1]])] if len(order) else order
+        first = first[count[first] >= self.need[query[first]]]
+        return query[first], bins[first] % span - self.longest, count[first]
+
+    def matches(self, other: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """Query, offset, votes, overlap in integers and differing bits of every query that matches."""
+        out = []
+        for k, offset, votes in zip(*(x.tolist() for x in self.votes(other)), strict=True):
+            query = self.prints[k]
+            q = query[max(0, -offset) : len(other) - offset]
+            r = other[max(0, offset) : max(0, offset) + len(q)]
+            q = q[: len(r)]
+            both = (q >= 0) & (r >= 0)
+            overlap, bits = int(both.sum()), int(np.bitwise_count(q[both] ^ r[both]).sum())
+            if bits <= ERROR * 32 * overlap:
+                out.append((k, offset, votes, overlap, bits))
+        return out
+
+
+MATCHES = "k string, match string, offset long, votes long, overlap long, bit_errors long"
+#: role 0: what a task knows of a query; role 1: of a recording. ``link`` ties each to a query of its component.
+PARTS = "role int, k string, classes long, recordings long, link string, match string, offset long, votes long, overlap long, bit_errors long"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], all_pairs: bool) -> Iterator[pa.RecordBatch]:
+    """Rows ``part, role, k, members, asked, print`` come sorted by part and role: a part's queries (role 0), then its recordings.
+
+    ``all_pairs``: every match; else one row for each query and each matched recording of the part, however many pairs there are.
+    """
+    fields = [f.split() for f in (MATCHES if all_pairs else PARTS).split(", ")]
+    names = [f[0] for f in fields]
+    kinds = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[f[1]] for f in fields]
+    rows: list[tuple] = []
+
+    def made() -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * len(names)
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    part, queries, block = None, [], None
+    best: dict[int, tuple] = {}
+    seen: list[list[int]] = []
+    above: list[int] = []
+
+    def root(x: int) -> int:
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    def close() -> None:
+        if not all_pairs and block is not None:
+            for i, (k, _, _) in enumerate(queries):
+                if seen[i][0]:
+                    rows.append((0, k, *seen[i], queries[root(i)][0], *best.get(i, (None, None) + (None,) * 5)[2:]))
+
     for batch in batches:
-        rows = []
-        for q, r, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if found := align(np.frombuffer(a, "<i8"), np.frombuffer(b, "<i8")):
-                rows.append((q, r, *found))
-        columns = zip(*rows, strict=True) if rows else [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+        for p, role, k, members, asked, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if p != part:
+                close()
+                part, queries, block, best = p, [], None, {}
+            if role == 0:
+                queries.append((k, asked, np.frombuffer(data, "<i8")))
+                continue
+            if block is None:
+                block = Block([q[2] for q in queries])
+                seen, above = [[0, 0] for _ in queries], list(range(len(queries)))
+            found = block.matches(np.frombuffer(data, "<i8"))
+            if all_pairs:
+                rows += [(queries[i][0], k, *x) for i, *x in found]
+            elif found:
+                for i, offset, votes, overlap, bits in found:
+                    seen[i][0] += 1
+                    seen[i][1] += members
+                    above[root(i)] = root(found[0][0])
+                    if queries[i][0] != k:  # the fewest differing bits for the overlap, then most votes, then the smallest digest
+                        rank = ((bits / overlap, -votes), k)
+                        if i not in best or rank < best[i][:2]:
+                            best[i] = (*rank, k, offset, votes, overlap, bits)
+                rows.append((1, k, len(found), sum(queries[x[0]][1] for x in found), queries[found[0][0]][0], *[None] * 5))
+            if len(rows) >= 10_000:
+                yield made()
+    close()
+    yield made()
+
+
+def classes_of(prints: DataFrame, asks: Column) -> DataFrame:
+    """Recordings with one fingerprint: ``k`` (its digest), ``class_id`` (their smallest id), ``members`` and how many of them ``asked``."""
+    counted = F.count_if(F.coalesce(asks, F.lit(False)))
+    return prints.groupBy("print").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("members"), counted.alias("asked")).withColumn("k", F.sha1("print"))
+
+
+def _aligned(classes: DataFrame, all_pairs: bool, block: int, share: int) -> DataFrame:
+    """The classes that ask, in blocks of about ``block`` integers, against all classes, in shares of about ``share`` times as many."""
+    sounding = classes.where(F.octet_length("print") > 0)
+    n, size = sounding.where("asked > 0").agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("print")), F.lit(0))).first()
+    blocks = max(1, -(-size // (8 * block)))
+    shares = max(1, -(-sounding.count() // max(2048, share * (n // blocks))))
+    place = lambda i, j: F.xxhash64(i, j)
+    numbers = lambda m: F.sequence(F.lit(0), F.lit(m - 1))
+    mine = F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")
+    asking = sounding.where("asked > 0").select(F.explode(F.transform(numbers(shares), lambda j: place(mine, j))).alias("part"), F.lit(0).alias("role"), "k", "members", "asked", "print")
+    of = F.pmod(F.xxhash64("k", F.lit(1)), F.lit(shares)).cast("int")
+    others = sounding.select(F.explode(F.transform(numbers(blocks), lambda i: place(i, of))).alias("part"), F.lit(1).alias("role"), "k", "members", "asked", "print")
+    rows = asking.unionByName(others).repartition(blocks * shares, "part").sortWithinPartitions("part", "role")
+    return rows.mapInArrow(lambda it: _blocks(it, all_pairs), MATCHES if all_pairs else PARTS)
+
+
+def search(media: DataFrame, id_col: str, media_col: str, vectors: bool = False, query_every: int = 20, block: int = BLOCK, share: int = SHARE) -> DataFrame:
+    """Every match of the rows whose id is divisible by ``query_every`` against all rows, as pairs of classes of equal fingerprints.
+
+    ``class_id, match_id`` (the classes' smallest ids), ``members`` (recordings of the matched class), ``offset, votes, overlap, bit_errors``.
+    """
+    prints = stage(fingerprints(media, id_col, media_col, vectors), "audio-prints")
+    classes = stage(classes_of(prints, F.col("id") % query_every == 0), "audio-classes")
+    found = _aligned(classes, True, block, share)
+    one = classes.select("k", "class_id")
+    two = classes.select(F.col("k").alias("match"), F.col("class_id").alias("match_id"), "members")
+    return found.join(one, "k").join(two, "match").select("class_id", "match_id", "members", "offset", "votes", "overlap", "bit_errors")
 
 
-def search(media: DataFrame, id_col: str, media_col: str, vectors: bool = False, query_every: int = 20) -> DataFrame:
-    """Matches of the rows whose id is divisible by ``query_every`` against all rows.
+def links(media: DataFrame, id_col: str, media_col: str, vectors: bool = False, query_every: int = 20, block: int = BLOCK, share: int = SHARE) -> DataFrame:
+    """One row for each recording: membership and numbers of links of ``search``, without its pairs.
 
-    One row for each query and each class it matches: ``query_id, class_id`` (the query's own class),
-    ``match_id`` (the matched class), ``members`` (recordings in it), ``offset, votes, overlap, bit_errors``.
+    ``id, class_id, component_id`` (the smallest id that links reach, among queries and recordings), ``is_query``, ``n_links`` (of a query: the other
+    recordings it matches; else: the queries that match it), and a query's best match in another class: ``match_id, offset, votes, overlap, bit_errors``.
     """
     prints = stage(fingerprints(media, id_col, media_col, vectors), "audio-prints")
-    asks = (F.col("id") % query_every == 0) & F.col("id").isNotNull()
-    classes = prints.groupBy("print").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("members"), F.coalesce(F.max(asks), F.lit(False)).alias("asks"))
-    # Ids may repeat with other recordings, so a class is known by its fingerprint's digest.
-    classes = stage(classes.where(F.col("class_id").isNotNull()).withColumn("k", F.sha1("print")), "audio-classes")
-    values = classes.select("k", "asks", "print").mapInArrow(_values, "k string, asks boolean, value long, n long")
-    postings = stage(values.groupBy("value", "k", "asks", "n").agg(F.count(F.lit(1)).alias("here")), "audio-values")
-    common = postings.groupBy("value").agg(F.count(F.lit(1)).alias("df"))
-    asked = postings.where("asks").join(common, "value")
-    # The rarest positions that a match cannot all miss; a query has a bounded number of values (its own length).
-    need = F.greatest(F.lit(2), F.ceil(F.col("n") * VOTES))
-    rest = F.sum("here").over(Window.partitionBy("k").orderBy("df", "value").rowsBetween(Window.unboundedPreceding, -1))
-    probes = asked.withColumn("before", F.coalesce(rest, F.lit(0))).where(F.col("before") <= F.col("n") - need).select("value", F.col("k").alias("q"))
-    pairs = probes.join(postings.select("value", F.col("k").alias("r")), "value").select("q", "r").distinct()
-    one = classes.select(F.col("k").alias("q"), F.col("print").alias("a"))
-    two = classes.select(F.col("k").alias("r"), F.col("print").alias("b"))
-    found = pairs.join(one, "q").join(two, "r").select("q", "r", "a", "b").mapInArrow(_align, "k string, match string, offset long, votes long, overlap long, bit_errors long")
-    matched = found.join(classes.select(F.col("k").alias("match"), F.col("class_id").alias("match_id"), "members"), "match")
-    queries = prints.where(asks).join(classes.select("print", "class_id", "k"), "print").select(F.col("id").alias("query_id"), "class_id", "k")
-    return queries.join(matched, "k").select("query_id", "class_id", "match_id", "members", "offset", "votes", "overlap", "bit_errors")
-
-
-def summary(matches: DataFrame) -> DataFrame:
-    """One row for each query of ``search``: its class, how many classes and recordings it matches (its own among them), and the
-    best match in another class (fewest differing bits for its overlap, then most votes, then smallest id), null without one."""
-    best = F.struct("match_id", "offset", "votes", "overlap", "bit_errors")
-    other = F.when(F.col("match_id") != F.col("class_id"), F.struct(F.col("bit_errors") / F.col("overlap"), -F.col("votes"), F.col("match_id")))
-    rows = matches.groupBy("query_id", "class_id").agg(F.count(F.lit(1)).alias("n_classes"), F.sum("members").alias("n_recordings"), F.min_by(best, other).alias("best"))
-    return rows.select("query_id", "class_id", "n_classes", "n_recordings", "best.*")
+    asks = F.coalesce(F.col("id") % query_every == 0, F.lit(False))
+    classes = stage(classes_of(prints, asks), "audio-classes")
+    parts = stage(_aligned(classes, False, block, share), "audio-parts")
+    rank = F.struct(F.col("bit_errors") / F.col("overlap"), -F.col("votes"), "match")
+    best = F.min_by(F.struct("match", "offset", "votes", "overlap", "bit_errors"), F.when(F.col("match").isNotNull(), rank))
+    asked = parts.where("role = 0").groupBy("k").agg(F.sum("recordings").alias("matched"), best.alias("best"))
+    heard = parts.where("role = 1").groupBy("k").agg(F.sum("recordings").alias("queries"))
+    roots = components(parts.select(F.col("k").alias("a"), F.col("link").alias("b")), "audio-components").select(F.col("v").alias("k"), "root")
+    known = classes.join(asked, "k", "left").join(heard, "k", "left").join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
+    known = stage(known, "audio-known")
+    least = known.groupBy("root").agg(F.min("class_id").alias("component_id"))
+    other = classes.select(F.col("k").alias("_k"), F.col("class_id").alias("match_id"))
+    known = known.join(least, "root").join(other, F.col("best.match") == F.col("_k"), "left")
+    rows = prints.join(known, "print").withColumn("is_query", asks)
+    count = F.when(F.col("is_query"), F.coalesce("matched", F.lit(1)) - 1).otherwise(F.coalesce("queries", F.lit(0)))
+    of = lambda c: F.when(F.col("is_query"), F.col(c)).alias(c.split(".")[-1])
+    return rows.select("id", "class_id", "component_id", "is_query", count.alias("n_links"), of("match_id"), of("best.offset"), of("best.votes"), of("best.overlap"), of("best.bit_errors"))

@@ -20,11 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, a
-    single machine) a temporary local folder is made and set.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and the master is local (tests, a
+    single machine) a temporary local folder is made and set; a cluster without the setting is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -41,15 +43,20 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
     This cuts the lineage: if an executor is lost later, nothing before the table is run again.
     """
+    return staged(df, label)[0]
+
+
+def staged(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``stage``, and the path for ``discard``."""
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
-def discard(spark: SparkSession, *paths: str) -> None:
+def discard(spark: SparkSession, *paths: str | None) -> None:
     """Deletes tables of the shared folder that are no longer needed."""
-    for path in paths:
+    for path in filter(None, paths):
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stage
+from tessera.llm.common import discard, staged
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -14,10 +14,10 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     Rounds of large stars and small stars (each vertex links its larger, then its smaller
     neighbours to the smallest one it knows) until a round changes nothing. Minima are aggregated map-side and joined
     back, so a hub with very many neighbours is never gathered in one task; each round's edges are
-    written to the shared folder. Edges that name a null vertex are left out.
+    written to the shared folder and deleted after the next. Edges that name a null vertex are left out.
     """
     known = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-    now = stage(known.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
+    now, path = staged(known.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
     before = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -26,7 +26,9 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
         links = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))
         small = large.join(least, F.col("a") == F.col("k")).select(F.explode(links).alias("e")).select("e.*").where("a > b").distinct()
-        now = stage(small, label)
+        old = path
+        now, path = staged(small, label)
+        discard(now.sparkSession, old)
         mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if mark == before:
             break

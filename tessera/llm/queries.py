@@ -41,8 +41,8 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recordings made of ``embeddings``: those with an id divisible by 20 aligned with all."""
-    return audio.summary(audio.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", vectors=True))
+    """Recordings made of ``embeddings``, those with an id divisible by 20 aligned with all: classes, components and numbers of links."""
+    return audio.links(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", vectors=True).withColumnRenamed("id", "vec_id")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

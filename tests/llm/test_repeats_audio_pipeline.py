@@ -55,14 +55,69 @@ def test_repeats_removes_from_texts(spark):
     assert got == {1: "x " + p, 2: " tail", 3: None}
 
 
+def plain_fingerprint(x):
+    """The fingerprint with plain sums over the image in place of the integral image."""
+    image, sounds = audio.chroma(x)
+    out = []
+    for t in range(len(image) - audio.SPAN + 1):
+        if not sounds[t : t + audio.SPAN].all():
+            out.append(-1)
+            continue
+        word = 0
+        area = lambda t0, n, y, h: image[t + t0 : t + t0 + n, y : y + h].sum()  # noqa: B023, E731
+        for kind, y, h, w in audio.FILTERS:
+            half, up = w // 2, h // 2
+            if kind == 0:
+                a, b = area(0, w, y, h) * 12 / h, (image[t : t + w].sum() - area(0, w, y, h)) * 12 / (12 - h)
+            elif kind == 1:
+                a, b = area(0, half, y, h), area(half, half, y, h)
+            elif kind == 2:
+                a, b = area(0, w, y, up), area(0, w, y + up, h - up)
+            else:
+                a = area(0, half, y, up) + area(half, half, y + up, h - up)
+                b = area(0, half, y + up, h - up) + area(half, half, y, up)
+            v = np.log((1 + a) / (1 + b))
+            word = word << 2 | [0, 1, 3, 2][int(v > -audio.STEP) + int(v > 0) + int(v > audio.STEP)]
+        out.append(word)
+    return np.array(out, np.int64)
+
+
+def plain_align(query, other):
+    """Votes of all offsets counted one by one; then the bits at the best one."""
+    votes = {}
+    for i, q in enumerate(query.tolist()):
+        for j, r in enumerate(other.tolist()):
+            if q >= 0 and q == r:
+                votes[j - i] = votes.get(j - i, 0) + 1
+    if not votes:
+        return None
+    offset = min(votes, key=lambda o: (-votes[o], o))
+    if votes[offset] < audio.votes_needed(int((query >= 0).sum())):
+        return None
+    both = [(q, other[i + offset]) for i, q in enumerate(query.tolist()) if 0 <= i + offset < len(other) and q >= 0 and other[i + offset] >= 0]
+    bits = sum((int(q) ^ int(r)).bit_count() for q, r in both)
+    return (offset, votes[offset], len(both), bits) if bits <= audio.ERROR * 32 * len(both) else None
+
+
 def test_alignment_finds_the_offset():
     rng = np.random.default_rng(1)
     tune = audio.melody(list(rng.normal(size=64)), 0)
     a = audio.fingerprint(tune)
+    assert (a == plain_fingerprint(tune)).mean() > 0.99
     b = audio.fingerprint(np.concatenate([np.zeros(audio.HOP * 5), tune + rng.normal(0, 0.002, len(tune))]))
-    offset, votes, overlap, bits = audio.align(a, b)
+    [(_, offset, votes, overlap, bits)] = audio.Block([a]).matches(b)
     assert offset == 5 and votes > 0.5 * len(a) and bits < 0.1 * 32 * overlap
-    assert audio.align(a, audio.fingerprint(audio.melody(list(rng.normal(size=64)), 0))) is None
+    assert audio.Block([a]).matches(audio.fingerprint(audio.melody(list(rng.normal(size=64)), 0))) == []
+
+
+def test_votes_in_pieces():
+    rng = np.random.default_rng(4)
+    prints = [rng.integers(-1, 6, rng.integers(0, 30)) for _ in range(12)]
+    block = audio.Block(prints)
+    for _ in range(30):
+        other = rng.integers(-1, 6, rng.integers(0, 40))
+        whole, cut = block.votes(other), block.votes(other, most=7)
+        assert all((x == y).all() for x, y in zip(whole, cut, strict=True))
 
 
 def test_wav_forms():
@@ -74,24 +129,49 @@ def test_wav_forms():
 
 def test_search_against_brute_force(spark):
     rng = np.random.default_rng(2)
-    base = rng.normal(size=(6, 32))
-    rows = [(i, [float(v) for v in base[i % 6] + rng.normal(0, 0.02, 32)]) for i in range(60)] + [(20, rows_v) for rows_v in [[0.0] * 3]] + [(100, None), (None, [1.0, 2.0]), (101, [None, float("nan")])]
-    df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, votes int")
-    prints = [(i, audio.fingerprint(audio.read_wav(audio.sonify(v, i or 0)))) for i, v in rows]
+    base = rng.normal(size=(6, 24))
+    rows = [(i, [float(v) for v in base[i % 6] + rng.normal(0, 0.02, 24)]) for i in range(60)] + [(20, [0.0] * 3)]
+    rows += [(100, None), (None, [1.0, 2.0]), (101, [None, float("nan")])]
+    rows += [(67, rows[60 % 7][1]), (60 + 7 * 20, rows[60 % 7][1])]  # equal recordings: the pause depends on the id modulo 7
+    df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, votes int").repartition(3)
+    prints = [(i, plain_fingerprint(audio.read_wav(audio.sonify(v, i or 0)))) for i, v in rows]
+    near = [(i, audio.fingerprint(audio.read_wav(audio.sonify(v, i or 0)))) for i, v in rows]
+    assert all(len(p) == len(q) and (len(p) == 0 or (p == q).mean() > 0.95) for (_, p), (_, q) in zip(prints, near, strict=True))
+    prints = near  # sums in another order may fall on the other side of a step
     least = {}
     for i, p in prints:
-        if i is not None:
-            least[p.tobytes()] = min(i, least.get(p.tobytes(), i))
+        if p.tobytes() not in least or least[p.tobytes()] is None or i is not None and i < least[p.tobytes()]:
+            least[p.tobytes()] = i
     members = {k: sum(p.tobytes() == k for _, p in prints) for k in least}
-    want = []
+    asking = {p.tobytes() for i, p in prints if i is not None and i % 20 == 0}
+    found = {(a, b): x for a in asking for b in least if (x := plain_align(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)))}
+    got = audio.search(df, "vec_id", "embedding", vectors=True, block=300, share=1).collect()
+    want = [(least[a], least[b], members[b], *x) for (a, b), x in found.items()]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 20
+    # Components over queries and recordings.
+    comp = {k: k for k in least}
+    for _ in least:
+        for a, b in found:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    low = {}
+    for k, r in comp.items():
+        low[r] = min([x for x in (low.get(r), least[k]) if x is not None], default=None)
+    rows_of = {}
     for i, p in prints:
-        if i is not None and i % 20 == 0:
-            for k, r in least.items():
-                if found := audio.align(p, np.frombuffer(k, np.int64)):
-                    want.append((i, least[p.tobytes()], r, members[k], *found))
-    got = audio.search(df, "vec_id", "embedding", vectors=True).collect()
-    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 5
-    assert audio.search(df.limit(0), "vec_id", "embedding", vectors=True).count() == 0
+        k = p.tobytes()
+        query = i is not None and i % 20 == 0
+        if query:
+            n = max(1, sum(members[b] for a, b in found if a == k)) - 1
+        else:
+            n = sum(sum(q.tobytes() == a and j is not None and j % 20 == 0 for j, q in prints) for a, b in found if b == k)
+        rows_of.setdefault(str(i), []).append((str(i), str(least[k]), str(low[comp[k]]), query, n))
+    for n, parts in ((300, 1), (10_000, 4)):
+        got = audio.links(df, "vec_id", "embedding", vectors=True, block=n, share=parts).collect()
+        assert sorted((str(r.id), str(r.class_id), str(r.component_id), r.is_query, r.n_links) for r in got) == sorted(x for v in rows_of.values() for x in v)
+        for r in got:
+            if r.match_id is not None:
+                assert r.is_query and r.match_id != r.class_id
+    assert audio.search(df.limit(0), "vec_id", "embedding", vectors=True).count() == audio.links(df.limit(0), "vec_id", "embedding", vectors=True).count() == 0
 
 
 def test_pipeline_stages(spark):
