@@ -196,30 +196,32 @@ def log_returns(e: Sql) -> Layers:
 @factor("momentum", n=126, hl=21, least=63, lags=(3, 4, 5))
 def BarraIndustryMomentum(e: Sql, n: int, hl: float, least: int, lags: tuple) -> Layers:
     """Industry strength without the stock's own share, by square root of cap, averaged over lags."""
-    s = {"s": e.ewm_sum("lr", n, hl, least), "w": "CASE WHEN circ_mv > 0 THEN sqrt(circ_mv) END"}
+    sums, s = e.ewm_sum("ew", "lr", n, hl, least)
+    s = {"s": s, "w": "CASE WHEN circ_mv > 0 THEN sqrt(circ_mv) END"}
     ind = "OVER (PARTITION BY pos, sw_l1_industry)"
     tot = {"sw": f"sum(CASE WHEN s IS NOT NULL THEN w END) {ind}", "ss": f"sum(s * w) {ind}"}
     strength = {"st": f"-(coalesce(s * w, 0) / nullif(sw, 0)) * s + {e.div('ss', 'sw')}"}
     mean = {"x": "(" + " + ".join(e.lag("st", k) for k in lags) + f") / {float(len(lags))}"}
-    return [*log_returns(e), s, tot, strength, mean, *standardise(e, ["x"], "total_mv"), {"value": "z_x"}]
+    return [*log_returns(e), *sums, s, tot, strength, mean, *standardise(e, ["x"], "total_mv"), {"value": "z_x"}]
 
 
 @factor("momentum", n=252, hl=126, least=126, lags=(11, 21), an=252, ahl=63, aleast=126)
 def BarraMomentum(e: Sql, n: int, hl: float, least: int, lags: tuple, an: int, ahl: float, aleast: int) -> Layers:
-    s = {"s": e.ewm_sum("rel", n, hl, least), "halpha": e.ewm_wls("xs", "xm", an, ahl, aleast)["alpha"]}
-    return [*log_returns(e), s, {"rstr": e.over("avg(s)", lags[1], lags[0])}, *combine(e, ["rstr", "halpha"], "total_mv")]
+    (sums, strength), (moments, fit) = e.ewm_sum("ew", "rel", n, hl, least), e.ewm_wls("ls", "xs", "xm", an, ahl, aleast)
+    return [*log_returns(e), *sums, *moments, {"s": strength, "halpha": fit["alpha"]}, {"rstr": e.over("avg(s)", lags[1], lags[0])}, *combine(e, ["rstr", "halpha"], "total_mv")]
 
 
 @factor("reversal", n=1040, hl=260, least=520, lags=(273, 283))
 def BarraLongTermReversal(e: Sql, n: int, hl: float, least: int, lags: tuple) -> Layers:
-    s = {"s": e.ewm_sum("rel", n, hl, least), "a": e.ewm_wls("xs", "xm", n, hl, least)["alpha"]}
+    (sums, strength), (moments, fit) = e.ewm_sum("ew", "rel", n, hl, least), e.ewm_wls("ls", "xs", "xm", n, hl, least)
     back = {"ltrstr": f"-({e.over('avg(s)', lags[1], lags[0])})", "lthalpha": f"-({e.over('avg(a)', lags[1], lags[0])})"}
-    return [*log_returns(e), s, back, *combine(e, ["ltrstr", "lthalpha"], "total_mv")]
+    return [*log_returns(e), *sums, *moments, {"s": strength, "a": fit["alpha"]}, back, *combine(e, ["ltrstr", "lthalpha"], "total_mv")]
 
 
 @factor("reversal", n=21, hl=5)
 def BarraShortTermReversal(e: Sql, n: int, hl: float) -> Layers:
-    return [*log_returns(e), {"x": e.ewm_sum("lr", n, hl, n)}, *standardise(e, ["x"], "total_mv"), {"value": "z_x"}]
+    sums, x = e.ewm_sum("ew", "lr", n, hl, n)
+    return [*log_returns(e), *sums, {"x": x}, *standardise(e, ["x"], "total_mv"), {"value": "z_x"}]
 
 
 @factor("reversal", n=20)
@@ -262,8 +264,9 @@ def BarraLiquidity(e: Sql, m: int, n: int, hl: float) -> Layers:
     t = {"t": "turnover_rate_f / 100"}
     month = {f"s{i}": f"CASE WHEN {e.over('count(t)', m * i + m - 1, m * i)} >= {half} THEN {e.over('sum(t)', m * i + m - 1, m * i)} END" for i in range(12)}
     mean = lambda k: "(" + " + ".join(f"s{i}" for i in range(k)) + f") / {float(k)}"
-    x = {"stom": e.pos_ln("s0"), "stoq": e.pos_ln(mean(3)), "stoa": e.pos_ln(mean(12)), "atvr": e.ewm_sum("t", n, hl, n // 2)}
-    return [t, month, x, *combine(e, ["stom", "stoq", "stoa", "atvr"], "total_mv")]
+    sums, atvr = e.ewm_sum("ew", "t", n, hl, n // 2)
+    x = {"stom": e.pos_ln("s0"), "stoq": e.pos_ln(mean(3)), "stoa": e.pos_ln(mean(12)), "atvr": atvr}
+    return [t, month, *sums, x, *combine(e, ["stom", "stoq", "stoa", "atvr"], "total_mv")]
 
 
 @factor("liquidity", n=20)
@@ -313,17 +316,19 @@ def VolumePriceCorr(e: Sql, n: int) -> Layers:
 
 @factor("volatility", n=252, hl=63, least=126)
 def BarraBeta(e: Sql, n: int, hl: float, least: int) -> Layers:
-    return [*log_returns(e), {"x": e.ewm_wls("xs", "xm", n, hl, least)["beta"]}, *standardise(e, ["x"], "total_mv"), {"value": "z_x"}]
+    moments, fit = e.ewm_wls("ls", "xs", "xm", n, hl, least)
+    return [*log_returns(e), *moments, {"x": fit["beta"]}, *standardise(e, ["x"], "total_mv"), {"value": "z_x"}]
 
 
 @factor("volatility", n=252, hl=63, shl=42, least=126, m=21)
 def BarraResidualVolatility(e: Sql, n: int, hl: float, shl: float, least: int, m: int) -> Layers:
-    x = {"hsigma": e.ewm_wls("xs", "xm", n, hl, least)["sigma"], "dastd": e.ewm_std("xs", n, shl, least)}
+    (moments, fit), (sums, dastd) = e.ewm_wls("ls", "xs", "xm", n, hl, least), e.ewm_std("ew", "xs", n, shl, least)
+    x = {"hsigma": fit["sigma"], "dastd": dastd}
     x |= {f"z{i}": f"CASE WHEN {e.over('count(rel)', m * i - 1)} >= {-(-m * i * 8 // 10)} THEN {e.over('sum(rel)', m * i - 1)} END" for i in range(1, 13)}
     z = [f"z{i}" for i in range(1, 13)]
     valid = " + ".join(f"CASE WHEN {v} IS NOT NULL THEN 1 ELSE 0 END" for v in z)
     cmra = {"cmra": f"CASE WHEN {valid} >= 10 THEN greatest({', '.join(z)}) - least({', '.join(z)}) END"}
-    return [*log_returns(e), x, cmra, *combine(e, ["hsigma", "dastd", "cmra"], "total_mv")]
+    return [*log_returns(e), *moments, *sums, x, cmra, *combine(e, ["hsigma", "dastd", "cmra"], "total_mv")]
 
 
 def spread(e: Sql, n: int, *xs: str) -> Layers:

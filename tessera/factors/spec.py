@@ -59,12 +59,12 @@ def doubles(sql: str) -> str:
 CUT = "CAST(floor(value * 100000e0 + 0.3713e0) AS DOUBLE) / 100000e0"
 
 
-def compute(panel: DataFrame, name: str, **params) -> DataFrame:
-    """``ts_code, pos, value`` of a factor on every row of the panel, all days at once."""
+def compute(panel: DataFrame, name: str, keep: tuple[str, ...] = (), **params) -> DataFrame:
+    """``ts_code, pos, value`` of a factor on every row of the panel, all days at once, and the panel's columns ``keep``."""
     df = panel
     for layer in REGISTRY[name].layers(Sql(), **params):
         df = df.withColumns({k: F.expr(doubles(v)) for k, v in layer.items()})
-    return df.select("ts_code", "pos", "value")
+    return df.select("ts_code", "pos", "value", *keep)
 
 
 def twin(panel_sql: str, name: str, **params) -> str:

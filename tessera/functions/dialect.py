@@ -94,38 +94,46 @@ class Sql:
         n = self.over(f"count({x})", k)
         return f"CASE WHEN {n} >= {least} AND {sx} > 1e-10 AND {sy} > 1e-10 THEN {self.over(f'covar_samp({x}, {y})', k)} / ({sx} * {sy}) END"
 
-    def decay(self, hl: float) -> str:
-        """Weight of a day for exponential windows, up to a factor that each window divides out."""
-        return f"power(2.0, pos / {float(hl)})"
-
-    def ewm_sum(self, x: str, n: int, hl: float, least: int) -> str:
-        """Exponentially weighted sum over n days with weights that sum to one over the full window."""
+    # -- exponential windows ---------------------------------------------------------------------
+    # Days are cut into blocks of n. A window of n days is the running sum of its own block and what the block before has after the day
+    # n days ago, so every sum costs one pass, whatever n. Weights count from the start of a block: they stay between 1 and 2 ** (n / half-life).
+
+    def ewm(self, tag: str, sums: dict[str, str], n: int, hl: float) -> list[dict[str, str]]:
+        """Layers with ``<tag>_<k>`` for each of ``sums``: its exponentially weighted sum over n days, today having weight 1 (0 without a value), and
+        ``<tag>_n``, the count of days on which the first one is there."""
+        w, b, first = f"{tag}w", f"{tag}b", next(iter(sums.values()))
+        block = {b: f"CAST((pos - pos % {n}) / {n} AS BIGINT)", w: f"power(2.0, pos % {n} / {float(hl)})"}
+        terms = {k: f"({x}) * {w}" for k, x in sums.items()}
+        aggs = {k: f"sum({x})" for k, x in terms.items()} | {"n": f"count({first})"}
+        run = {f"{tag}p_{k}": f"coalesce({x} OVER (PARTITION BY ts_code, {b} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)" for k, x in aggs.items()}
+        before = {f"{tag}t_{k}": f"coalesce({x} OVER (PARTITION BY ts_code ORDER BY {b} RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING), 0)" for k, x in aggs.items()}
+        then = self.struct(b=b, **{k: f"{tag}p_{k}" for k in aggs})
+        left = {f"{tag}l": f"last({then}) OVER (PARTITION BY ts_code ORDER BY pos RANGE BETWEEN UNBOUNDED PRECEDING AND {n} PRECEDING)"}
+        past = {k: f"({tag}t_{k} - CASE WHEN {tag}l.b = {b} - 1 THEN {tag}l.{k} ELSE 0 END)" for k in aggs}
+        out = {f"{tag}_{k}": f"({tag}p_{k} + {past[k]} * {0.5 ** (n / hl)!r}) / {w}" for k in sums} | {f"{tag}_n": f"{tag}p_n + {past['n']}"}
+        return [block, run | before, left, out]
+
+    def ewm_sum(self, tag: str, x: str, n: int, hl: float, least: int) -> tuple[list[dict[str, str]], str]:
+        """Exponentially weighted sum over n days with weights that sum to one over the full window: layers, and the expression."""
         norm = sum(0.5 ** (i / hl) for i in range(n))
-        s = self.over(f"sum(({x}) * {self.decay(hl)})", n - 1)
-        return f"CASE WHEN {self.over(f'count({x})', n - 1)} >= {least} THEN {s} / ({self.decay(hl)} * {norm!r}) END"
+        return self.ewm(tag, {"x": x}, n, hl), f"CASE WHEN {tag}_n >= {least} THEN {tag}_x / {norm!r} END"
 
-    def ewm_std(self, x: str, n: int, hl: float, least: int) -> str:
-        w = f"CASE WHEN ({x}) IS NOT NULL THEN {self.decay(hl)} END"
-        sw, s1, s2 = (self.over(f"sum({y})", n - 1) for y in (w, f"({x}) * {self.decay(hl)}", f"({x}) * ({x}) * {self.decay(hl)}"))
-        return f"CASE WHEN {self.over(f'count({x})', n - 1)} >= {least} THEN sqrt(greatest(0.0, {s2} / {sw} - ({s1} / {sw}) * ({s1} / {sw}))) END"
+    def ewm_std(self, tag: str, x: str, n: int, hl: float, least: int) -> tuple[list[dict[str, str]], str]:
+        layers = self.ewm(tag, {"w": f"CASE WHEN ({x}) IS NOT NULL THEN 1.0 END", "x": x, "xx": f"({x}) * ({x})"}, n, hl)
+        return layers, f"CASE WHEN {tag}_n >= {least} THEN sqrt(greatest(0.0, {tag}_xx / {tag}_w - ({tag}_x / {tag}_w) * ({tag}_x / {tag}_w))) END"
 
-    def ewm_wls(self, y: str, x: str, n: int, hl: float, least: int) -> dict[str, str]:
-        """Exponentially weighted regression of y on x: expressions for ``beta``, ``alpha`` and the residuals' ``sigma``."""
+    def ewm_wls(self, tag: str, y: str, x: str, n: int, hl: float, least: int) -> tuple[list[dict[str, str]], dict[str, str]]:
+        """Exponentially weighted regression of y on x: layers of its six moments, and expressions for ``beta``, ``alpha`` and the residuals' ``sigma``."""
         both = f"({y}) IS NOT NULL AND ({x}) IS NOT NULL"
-        d = self.decay(hl)
-
-        def total(e: str) -> str:
-            return self.over(f"sum(CASE WHEN {both} THEN ({e}) * {d} END)", n - 1)
-
-        w, mx, my = total("1.0"), f"({total(x)} / {total('1.0')})", f"({total(y)} / {total('1.0')})"
-        vx = f"({total(f'({x}) * ({x})')} / {w} - {mx} * {mx})"
-        vy = f"({total(f'({y}) * ({y})')} / {w} - {my} * {my})"
-        cov = f"({total(f'({x}) * ({y})')} / {w} - {mx} * {my})"
-        ok = f"{self.over(f'count(CASE WHEN {both} THEN 1 END)', n - 1)} >= {least} AND {vx} > 1e-12"
-        return {
-            "beta": f"CASE WHEN {ok} THEN {cov} / {vx} END",
-            "alpha": f"CASE WHEN {ok} THEN {my} - {cov} / {vx} * {mx} END",
-            "sigma": f"CASE WHEN {ok} THEN sqrt(greatest(0.0, {vy} - {cov} * {cov} / {vx})) END",
+        moments = {"w": "1.0", "x": x, "y": y, "xx": f"({x}) * ({x})", "yy": f"({y}) * ({y})", "xy": f"({x}) * ({y})"}
+        layers = self.ewm(tag, {k: f"CASE WHEN {both} THEN {v} END" for k, v in moments.items()}, n, hl)
+        mean = {f"{tag}m{k}": f"{tag}_{k} / nullif({tag}_w, 0)" for k in ("x", "y", "xx", "yy", "xy")}
+        spread = {f"{tag}v{k}": f"{tag}m{k} - {tag}m{k[0]} * {tag}m{k[1]}" for k in ("xx", "yy", "xy")}
+        ok = f"{tag}_n >= {least} AND {tag}vxx > 1e-12"
+        return [*layers, mean, spread], {
+            "beta": f"CASE WHEN {ok} THEN {tag}vxy / {tag}vxx END",
+            "alpha": f"CASE WHEN {ok} THEN {tag}my - {tag}vxy / {tag}vxx * {tag}mx END",
+            "sigma": f"CASE WHEN {ok} THEN sqrt(greatest(0.0, {tag}vyy - {tag}vxy * {tag}vxy / {tag}vxx)) END",
         }
 
     # -- cross-section --------------------------------------------------------------------------

@@ -215,7 +215,7 @@ def signals(spark, sf_dir, n: int = 4) -> DataFrame:
     ship(spark)
     p = source.panel(spark, sf_dir)
     df = evaluate.forward_return(p)
-    return compute(df, "ROC", n=n).withColumnRenamed("value", "signal").join(df.select("ts_code", "pos", "ret"), ["ts_code", "pos"])
+    return compute(df, "ROC", keep=("ret", "total_mv", "close", "vol"), n=n).withColumnRenamed("value", "signal")
 
 
 @query("d20_forward_return", f"SELECT ts_code, pos, {cut('ret')} AS ret FROM {SIGNALS}")
@@ -270,8 +270,7 @@ SELECT pos, {cut('CASE WHEN sa > 1e-12 AND sb > 1e-12 THEN c / (sa * sb) END')}
   SELECT pos, covar_samp(signal, total_mv) AS c, stddev_samp(signal) AS sa, stddev_samp(total_mv) AS sb, count(*) AS n FROM {SIGNALS} JOIN (SELECT ts_code, pos, total_mv FROM ({WEEKLY})) USING (ts_code, pos)
   WHERE signal IS NOT NULL AND total_mv IS NOT NULL GROUP BY pos) WHERE n >= 3""")
 def e10(spark, sf_dir):
-    s = signals(spark, sf_dir).join(source.panel(spark, sf_dir).select("ts_code", "pos", "total_mv"), ["ts_code", "pos"])
-    return crosssec.daily_correlation(s, "signal", "total_mv").select("pos", cut_col("corr"), "n")
+    return crosssec.daily_correlation(signals(spark, sf_dir), "signal", "total_mv").select("pos", cut_col("corr"), "n")
 
 
 NAV = "(SELECT ts_code, pos, close AS nav FROM ({0}) WHERE close IS NOT NULL)".format(WEEKLY)

@@ -43,17 +43,14 @@ def debt(coalesced: bool = True) -> str:
 
 
 def weekly_sql() -> str:
-    """The panel: a row for each supplier and week, also where nothing was traded."""
-    statement = ",\n".join(f"{made_up(n, k, 'code', 'q', b)} AS {n}" for k, (n, b) in enumerate(STATEMENT.items()))
+    """The panel: a row for each supplier and week, also where nothing was traded; statements are NULL before the first is visible."""
+    statement = ",\n".join(f"CASE WHEN q >= 0 THEN {made_up(n, k, 'code', 'q', b)} END AS {n}" for k, (n, b) in enumerate(STATEMENT.items()))
     weekly = ",\n".join(f"{made_up(n, k + 40, 'code', 'pos', b)} AS {n}" for k, (n, b) in enumerate(WEEKLY.items()))
     return f"""
 WITH l AS (
-  SELECT l_suppkey AS code, CAST(date_trunc('week', l_shipdate) AS DATE) AS wk, l_extendedprice / l_quantity AS px, l_quantity AS q, l_extendedprice AS amt,
-         row_number() OVER (PARTITION BY l_suppkey, date_trunc('week', l_shipdate) ORDER BY l_shipdate, l_orderkey, l_linenumber) AS up,
-         row_number() OVER (PARTITION BY l_suppkey, date_trunc('week', l_shipdate) ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) AS down
-  FROM {{lineitem}}
+  SELECT l_suppkey AS code, CAST(date_trunc('week', l_shipdate) AS DATE) AS wk, l_extendedprice / l_quantity AS px, l_quantity AS q, l_extendedprice AS amt, {{row}}(l_shipdate, l_orderkey, l_linenumber) AS ord FROM {{lineitem}}
 ), bars AS (
-  SELECT code, wk, CAST(floor((max(CASE WHEN up = 1 THEN px END)) * 100 + 0.3713e0) AS DOUBLE) / 100 AS open, CAST(floor((max(px)) * 100 + 0.3713e0) AS DOUBLE) / 100 AS high, CAST(floor((min(px)) * 100 + 0.3713e0) AS DOUBLE) / 100 AS low, CAST(floor((max(CASE WHEN down = 1 THEN px END)) * 100 + 0.3713e0) AS DOUBLE) / 100 AS close,
+  SELECT code, wk, CAST(floor((min_by(px, ord)) * 100 + 0.3713e0) AS DOUBLE) / 100 AS open, CAST(floor((max(px)) * 100 + 0.3713e0) AS DOUBLE) / 100 AS high, CAST(floor((min(px)) * 100 + 0.3713e0) AS DOUBLE) / 100 AS low, CAST(floor((max_by(px, ord)) * 100 + 0.3713e0) AS DOUBLE) / 100 AS close,
          sum(q) AS vol, CAST(floor((sum(amt)) * 100 + 0.3713e0) AS DOUBLE) / 100 AS amount FROM l GROUP BY code, wk
 ), cal AS (
   SELECT wk, CAST(row_number() OVER (ORDER BY wk) AS BIGINT) AS pos, CAST(floor((sum(amount) / sum(vol)) * 100 + 0.3713e0) AS DOUBLE) / 100 AS index_close FROM bars GROUP BY wk
@@ -70,7 +67,7 @@ WITH l AS (
 SELECT code AS ts_code, trade_date, pos, q, sw_l1_industry, index_close, open, high, low, close, vol, amount, total_share, total_mv, circ_mv, comp_type, gc001_weight, turnover_rate_f,
 {statement},
 {weekly}
-FROM (SELECT * FROM p) x WHERE q >= 0
+FROM p
 """
 
 
@@ -108,14 +105,14 @@ def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Runs shared SQL over the Parquet tables of a folder."""
     names = ("lineitem", "supplier", "orders", "events", "nation", "region", "customer", "part")
     used = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names if f"{{{n}}}" in sql}
-    return spark.sql(sql, **used)
+    return spark.sql(sql.replace("{row}", "struct"), **used)
 
 
 def duck_sql(sql: str) -> str:
     """Shared SQL with the tables' own names."""
     for n in ("lineitem", "supplier", "orders", "events", "nation", "region", "customer", "part"):
         sql = sql.replace(f"{{{n}}}", n)
-    return sql
+    return sql.replace("{row}", "row")
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
