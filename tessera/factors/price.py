@@ -155,17 +155,17 @@ def LongTermReversal(e: Sql, length: int) -> Layers:
     return blocks(e, length, length * 2 // 63)
 
 
-@factor("momentum", weeks=52, per_week=5)
-def PriceRelative52WeekHigh(e: Sql, weeks: int, per_week: int) -> Layers:
-    """Weeks end where ``pos`` fills a block of ``per_week``; the block of today counts as it stands."""
+@factor("momentum", weeks=52, n=260)
+def PriceRelative52WeekHigh(e: Sql, weeks: int, n: int) -> Layers:
+    """The close over the highest of the last ``weeks`` weekly closes within ``n`` days back; the running week counts as it stands."""
     ign = "last_value(close IGNORE NULLS)" if e.duck else "last(close, true)"
-    week = {"wk": f"CAST((pos - pos % {per_week}) / {per_week} AS BIGINT)"}
-    # The close of each week on its last day with one, and how many such weeks lie before the week of a row.
+    week = {"wk": e.week("trade_date")}
+    # The close of each week, on its last day with one; and the running close of the week of a row.
     ends = {"endpos": "max(CASE WHEN close IS NOT NULL THEN pos END) OVER (PARTITION BY ts_code, wk)", "running": f"{ign} OVER (PARTITION BY ts_code, wk ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"}
     closes = {"wc": "CASE WHEN pos = endpos THEN close END"}
-    before = {"w0": "count(wc) OVER (PARTITION BY ts_code ORDER BY wk RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"}
+    before = {"w0": "count(wc) OVER (PARTITION BY ts_code ORDER BY wk RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", "near": f"{e.over('count(wc)', n)} - CASE WHEN pos = endpos THEN 1 ELSE 0 END"}
     high = {"h": f"max(wc) OVER (PARTITION BY ts_code ORDER BY w0 RANGE BETWEEN {weeks - 1} PRECEDING AND 1 PRECEDING)"}
-    return [week, ends, closes, before, high, {"value": f"CASE WHEN running IS NOT NULL AND w0 >= {weeks - 1} AND close IS NOT NULL THEN {e.div('close', 'greatest(h, running)')} END"}]
+    return [week, ends, closes, before, high, {"value": f"CASE WHEN running IS NOT NULL AND near >= {weeks - 1} AND close IS NOT NULL THEN {e.div('close', 'greatest(h, running)')} END"}]
 
 
 @factor("momentum", n=252, skip=22)
@@ -378,23 +378,18 @@ def MarketBetaCN(e: Sql, n: int, long: int) -> Layers:
     return [*log_returns(e), three, {"value": f"{e.corr('xs', 'xm', n - 1)} * {ratio}"}]
 
 
-@factor("volatility", n=21, least=15)
+@factor("volatility", needs="ff3", n=21, least=15)
 def FF3IdiosyncraticVolatilityCN(e: Sql, n: int, least: int) -> Layers:
-    """Standard deviation of the residuals of a regression on three daily factors ``f1, f2, f3`` made of the cross-section.
+    """Standard deviation of the residuals of a regression on the panel's three factors ``mkt, smb, hml`` (``portfolios.three_factors``).
 
     The regressors are made orthogonal one after the other within the window, so the residual sum of squares is what the
     successive projections leave; only window moments are needed.
     """
-    size, value = e.median("circ_mv"), e.median("x_bp")
-    base = {"x_bp": "total_hldr_eqy_exc_min_int_mrq / nullif(total_mv, 0)"}
-    side = {"small": f"CASE WHEN circ_mv <= {size} THEN 1 ELSE 0 END", "cheap": f"CASE WHEN x_bp > {value} THEN 1 ELSE 0 END"}
-    mean = lambda c: e.day(f"avg(CASE WHEN {c} THEN sr END)")
-    f = {"f1": "mr - rf", "f2": f"{mean('small = 1')} - {mean('small = 0')}", "f3": f"{mean('cheap = 1')} - {mean('cheap = 0')}"}
-    ok = "CASE WHEN xs IS NOT NULL AND f1 IS NOT NULL AND f2 IS NOT NULL AND f3 IS NOT NULL THEN {} END"
-    v = {"y": "xs", "a": "f1", "b": "f2", "c": "f3"}
+    ok = "CASE WHEN sr IS NOT NULL AND rf IS NOT NULL AND mkt IS NOT NULL AND smb IS NOT NULL AND hml IS NOT NULL THEN {} END"
+    v = {"y": "sr - rf", "a": "mkt", "b": "smb", "c": "hml"}
     paired = {k: ok.format(x) for k, x in v.items()}
     pairs = [p + q for i, p in enumerate("abcy") for q in "abcy"[i:]]
     cov = {f"v_{p}": e.over(f"covar_samp({p[0]}, {p[1]})", n - 1) for p in pairs} | {"k": e.over("count(y)", n - 1)}
     b1 = {"bb": "v_bb - v_ab * v_ab / nullif(v_aa, 0)", "bc": "v_bc - v_ab * v_ac / nullif(v_aa, 0)", "cc1": "v_cc - v_ac * v_ac / nullif(v_aa, 0)", "yb": "v_by - v_ab * v_ay / nullif(v_aa, 0)", "yc1": "v_cy - v_ac * v_ay / nullif(v_aa, 0)", "yy1": "v_yy - v_ay * v_ay / nullif(v_aa, 0)"}
     b2 = {"cc": "cc1 - bc * bc / nullif(bb, 0)", "yc": "yc1 - bc * yb / nullif(bb, 0)", "yy2": "yy1 - yb * yb / nullif(bb, 0)"}
-    return [*log_returns(e), base, side, f, paired, cov, b1, b2, {"value": f"CASE WHEN k >= {least} AND v_aa > 1e-14 AND bb > 1e-14 AND cc > 1e-14 THEN sqrt(greatest(0.0, yy2 - yc * yc / cc)) END"}]
+    return [*log_returns(e), paired, cov, b1, b2, {"value": f"CASE WHEN k >= {least} AND v_aa > 1e-14 AND bb > 1e-14 AND cc > 1e-14 THEN sqrt(greatest(0.0, yy2 - yc * yc / cc)) END"}]

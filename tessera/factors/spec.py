@@ -16,13 +16,14 @@ Layers = list[dict[str, str]]
 
 @dataclass(frozen=True)
 class Factor:
-    """A factor; ``build`` gives layers of columns, the last one with ``value``. ``annual``: it needs fiscal-year statistics."""
+    """A factor; ``build`` gives layers of columns, the last one with ``value``. ``needs``: what it reads besides the panel, ``annual`` (fiscal-year
+    statistics) or ``ff3`` (the daily three factors)."""
 
     name: str
     family: str
     build: Callable[..., Layers]
     params: dict = field(default_factory=dict)
-    annual: bool = False
+    needs: str = ""
 
     def layers(self, e: Sql, **params) -> Layers:
         return self.build(e, **{**self.params, **params})
@@ -31,11 +32,11 @@ class Factor:
 REGISTRY: dict[str, Factor] = {}
 
 
-def factor(family: str, name: str | None = None, annual: bool = False, **params):
+def factor(family: str, name: str | None = None, annual: bool = False, needs: str = "", **params):
     """Registers a function that builds a factor's layers."""
 
     def add(f):
-        REGISTRY[name or f.__name__] = Factor(name or f.__name__, family, f, params, annual)
+        REGISTRY[name or f.__name__] = Factor(name or f.__name__, family, f, params, needs or "annual" * annual)
         return f
 
     return add

@@ -94,13 +94,14 @@ def BarraDividendYieldProxy(e: Sql) -> Layers:
     return scored(e, "dv_ttm / 100")
 
 
-@factor("value", month=4)
-def BarraDividendYield(e: Sql, month: int) -> Layers:
-    """``month``: trading days of a month; the price is the last one before the month of the day."""
-    block = {"mo": f"CAST((pos - pos % {month}) / {month} AS BIGINT)"}
-    at = {"px": f"max(CASE WHEN pos % {month} = {month - 1} THEN close END) OVER (PARTITION BY ts_code ORDER BY mo RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)"}
+@factor("value")
+def BarraDividendYield(e: Sql) -> Layers:
+    """The price is that of the last open day of the month before."""
+    month = {"mo": "year(trade_date) * 12 + month(trade_date)"}
+    end = {"mend": "max(pos) OVER (PARTITION BY mo)"}
+    at = {"px": "max(CASE WHEN pos = mend THEN close END) OVER (PARTITION BY ts_code ORDER BY mo RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)"}
     x = {"dtop": e.div("cash_div_tax_ttm", "px"), "dtopf": "forecast_dividend_yield_12m / 100"}
-    return [block, at, x, *combine(e, ["dtop", "dtopf"], "total_mv")]
+    return [month, end, at, x, *combine(e, ["dtop", "dtopf"], "total_mv")]
 
 
 def enterprise(p: str = "") -> str:

@@ -52,6 +52,11 @@ class Sql:
             return "struct_pack(" + ", ".join(f"{k} := {v}" for k, v in kw.items()) + ")"
         return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in kw.items()) + ")"
 
+    def week(self, day: str) -> str:
+        """The number of a date's week, Monday to Sunday."""
+        days = f"date_diff('day', DATE '1970-01-05', {day})" if self.duck else f"datediff({day}, DATE '1970-01-05')"
+        return f"CAST(floor({days} / 7e0) AS BIGINT)"
+
     # -- windows over time ----------------------------------------------------------------------
 
     def quantile(self, x: str, p: float, k: int) -> str:

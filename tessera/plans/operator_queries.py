@@ -294,69 +294,6 @@ def e7(spark, sf_dir):
     return evaluate.rolling_performance(nav, ["ts_code"], 26).select("ts_code", "pos", cut_col("sharpe"), cut_col("win_rate"))
 
 
-@query("e3_simulated_groups")
-def e3(spark, sf_dir):
-    """Net values of five groups; sequential, compared with a plain replay in the tests."""
-    b = crosssec.buckets(signals(spark, sf_dir).where("signal IS NOT NULL"), 5).select("ts_code", "pos", F.col("bucket").cast("int").alias("bucket"))
-    p = source.panel(spark, sf_dir).select("ts_code", "pos", "close", F.col("vol").isNull().alias("suspended"))
-    return evaluate.simulate(p.join(b, ["ts_code", "pos"], "left"), 5, 4)
-
-
-@query("factor_TrendScore")
-def trend_score(spark, sf_dir):
-    """Moving averages of price and volume, regressed on the last realised return; weights are those of an ordinary least squares fit of the day."""
-    ship(spark)
-    p = source.panel(spark, sf_dir)
-    w = Window.partitionBy("ts_code").orderBy("pos")
-    lags = (3, 5, 10, 20, 50)
-    x = {f"x{k}": F.when(F.count("close").over(w.rangeBetween(-k + 1, 0)) >= (k + 1) // 2, F.try_divide(F.avg("close").over(w.rangeBetween(-k + 1, 0)), F.col("close"))) for k in lags}
-    x |= {f"v{k}": F.when(F.count("vol").over(w.rangeBetween(-k + 1, 0)) >= (k + 1) // 2, F.try_divide(F.avg("vol").over(w.rangeBetween(-k + 1, 0)), F.col("vol"))) for k in lags}
-    d = p.withColumns(x).withColumns({f"b_{c}": F.first(c).over(w.rangeBetween(-6, -6)) for c in x} | {"y": F.try_divide(F.col("close"), F.first("close").over(w.rangeBetween(-5, -5))) - 1})
-    least = max(12, 2 * len(x))  # the test panel has fewer stocks than a market
-    return crosssec.regression_scores(d, [f"b_{c}" for c in x], list(x), "y", least=least)
-
-
-@query("d18_consensus", """
-WITH r AS (SELECT user_id % 100 AS ts_code, event_type AS org, CAST(ts AS DATE) AS day, value, event_id, row_number() OVER (PARTITION BY user_id % 100, event_type, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS rn FROM events),
-s AS (SELECT ts_code, org, day, CASE WHEN event_id % 17 <> 0 THEN value END AS eps FROM r WHERE rn = 1),
-d AS (SELECT DISTINCT CAST(ts AS DATE) AS trade_date FROM events), k AS (SELECT DISTINCT ts_code, org FROM s),
-st AS (SELECT d.trade_date, k.ts_code, k.org, s.eps FROM d CROSS JOIN k ASOF JOIN s ON s.ts_code = k.ts_code AND s.org = k.org AND s.day <= d.trade_date)
-SELECT ts_code, trade_date, """ + cut("median(eps)") + " AS eps, CASE WHEN count(eps) >= 2 THEN " + cut("stddev_samp(eps)") + " END AS eps_std, count(eps) AS orgs FROM st GROUP BY ts_code, trade_date", text="trade_date")
-def d18(spark, sf_dir):
-    """Analysts' states: the last report of each analyst holds until the next, a missing value included; median and deviation over analysts."""
-    e = t(spark, sf_dir, "events").select((F.col("user_id") % 100).alias("ts_code"), F.col("event_type").alias("org"), F.to_date("ts").alias("day"), "ts", "event_id", F.when(F.col("event_id") % 17 != 0, F.col("value")).alias("eps"))
-    last = joins.latest(e, ["ts_code", "org", "day"], [F.col("ts").desc(), F.col("event_id").desc()])
-    spans = last.withColumn("until", F.lead("day").over(Window.partitionBy("ts_code", "org").orderBy("day")))
-    days = e.select(F.col("day").alias("trade_date")).distinct()
-    state = spans.join(F.broadcast(days), (F.col("trade_date") >= F.col("day")) & (F.col("until").isNull() | (F.col("trade_date") < F.col("until"))))  # days of the calendar
-    out = state.groupBy("ts_code", "trade_date").agg(F.median("eps").alias("eps"), F.when(F.count("eps") >= 2, F.stddev_samp("eps")).alias("eps_std"), F.count("eps").alias("orgs"))
-    return out.select("ts_code", "trade_date", cut_col("eps"), cut_col("eps_std"), "orgs")
-
-
-FF_BASE = f"(SELECT *, total_hldr_eqy_exc_min_int_mrq / nullif(total_mv, 0) AS bp FROM ({WEEKLY}))"
-
-
-@query("d19_three_factors", f"""
-WITH b AS {FF_BASE}, q AS (
-  SELECT pos, quantile_cont(circ_mv, 0.5) AS mid, quantile_cont(bp, 0.3) AS lo, quantile_cont(bp, 0.7) AS hi FROM b WHERE pos % 13 = 0 GROUP BY pos
-), f AS (SELECT ts_code, b.pos, CASE WHEN circ_mv <= mid THEN 'S' ELSE 'B' END || CASE WHEN bp <= lo THEN 'L' WHEN bp > hi THEN 'H' ELSE 'M' END AS leg FROM b JOIN q USING (pos) WHERE circ_mv IS NOT NULL AND bp IS NOT NULL),
-c AS (SELECT b.ts_code, b.pos, b.close / nullif(p.close, 0) - 1 AS r, p.circ_mv AS w FROM b JOIN b p ON p.ts_code = b.ts_code AND p.pos = b.pos - 1),
-v AS (SELECT c.pos, f.leg, sum(r * w) / sum(CASE WHEN r IS NOT NULL THEN w END) AS r FROM c JOIN f ON f.ts_code = c.ts_code AND f.pos = ((c.pos - 1) // 13) * 13 GROUP BY c.pos, f.leg),
-g AS (SELECT pos, max(r) FILTER (leg = 'SL') AS sl, max(r) FILTER (leg = 'SM') AS sm, max(r) FILTER (leg = 'SH') AS sh, max(r) FILTER (leg = 'BL') AS bl, max(r) FILTER (leg = 'BM') AS bm, max(r) FILTER (leg = 'BH') AS bh FROM v GROUP BY pos)
-SELECT pos, {cut('(sl + sm + sh) / 3 - (bl + bm + bh) / 3')} AS smb, {cut('(sh + bh) / 2 - (sl + bl) / 2')} AS hml FROM g""")
-def d19(spark, sf_dir):
-    """Two sizes by three book-to-price groups, formed every 13 weeks, weighted by the cap of the week before."""
-    p = source.panel(spark, sf_dir).withColumn("bp", F.expr("total_hldr_eqy_exc_min_int_mrq / nullif(total_mv, 0)"))
-    form = p.where("pos % 13 = 0")
-    q = form.groupBy("pos").agg(F.expr("percentile(circ_mv, 0.5)").alias("mid"), F.expr("percentile(bp, 0.3)").alias("lo"), F.expr("percentile(bp, 0.7)").alias("hi"))
-    leg = F.concat(F.when(F.col("circ_mv") <= F.col("mid"), "S").otherwise("B"), F.when(F.col("bp") <= F.col("lo"), "L").when(F.col("bp") > F.col("hi"), "H").otherwise("M"))
-    legs = form.join(q, "pos").where("circ_mv IS NOT NULL AND bp IS NOT NULL").select("ts_code", F.col("pos").alias("formed"), leg.alias("leg"))
-    w = Window.partitionBy("ts_code").orderBy("pos").rangeBetween(-1, -1)
-    r = p.select("ts_code", "pos", (F.try_divide(F.col("close"), F.first("close").over(w)) - 1).alias("r"), F.first("circ_mv").over(w).alias("w")).withColumn("formed", F.expr("(pos - 1) div 13 * 13"))
-    v = r.join(legs, ["ts_code", "formed"]).groupBy("pos").pivot("leg", ["SL", "SM", "SH", "BL", "BM", "BH"]).agg(F.try_divide(F.sum(F.col("r") * F.col("w")), F.sum(F.when(F.col("r").isNotNull(), F.col("w")))))
-    return v.select("pos", F.expr(cut("(SL + SM + SH) / 3 - (BL + BM + BH) / 3")).alias("smb"), F.expr(cut("(SH + BH) / 2 - (SL + BL) / 2")).alias("hml"))
-
-
 OLD = "SELECT o_orderkey AS k, o_totalprice AS v, o_custkey AS c FROM orders WHERE o_orderkey % 3 <> 0"
 NEW = "SELECT o_orderkey AS k, o_totalprice + 1 AS v, o_custkey AS c FROM orders WHERE o_orderkey % 2 = 0"
 
@@ -387,11 +324,6 @@ def p11(spark, sf_dir):
     return quality.key_difference(*old_new(spark, sf_dir), ["k"])
 
 
-@query("p12_fingerprint")
-def p12(spark, sf_dir):
-    return quality.fingerprint(t(spark, sf_dir, "orders"), ["o_orderkey", "o_totalprice"])
-
-
 @query("p13_bar_violations", f"SELECT count(*) FILTER (open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL) AS missing, count(*) FILTER (vol < 0 OR amount < 0 OR low <= 0) AS negative, count(*) FILTER (high < greatest(open, close, low) OR low > least(open, close, high)) AS high_low FROM ({WEEKLY})")
 def p13(spark, sf_dir):
     return quality.bar_violations(source.panel(spark, sf_dir))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.factors import price, statement  # noqa: F401  they register their factors
 from tessera.factors.spec import CUT, REGISTRY, compute, twin
-from tessera.plans import operator_queries, table_queries  # noqa: F401  table_queries adds to operator_queries
+from tessera.plans import operator_queries, report_queries, table_queries  # noqa: F401  the others add to operator_queries
 from tessera.session import ship
 from tessera.sources import panel as source
 
@@ -19,17 +19,25 @@ WEEKS = {
     "BarraLongTermReversal": {"n": 104, "hl": 26, "least": 52, "lags": (27, 37)},
     "BarraSeasonality": {"year": 52, "month": 4},
     "MarketBetaCN": {"n": 52, "long": 156},
-    "PriceRelative52WeekHigh": {"weeks": 26, "per_week": 4},
 }
 
 
+def factor_panel(spark: SparkSession, sf_dir: str, needs: str) -> DataFrame:
+    """The panel with what a factor reads besides it."""
+    if needs == "annual":
+        return source.annual_panel(spark, sf_dir)
+    p = source.panel(spark, sf_dir)
+    if needs == "ff3":
+        p = p.join(F.broadcast(report_queries.factor_days(p).drop("rf")), "pos")  # a row a day
+    return p
+
+
 def factor_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     f = REGISTRY[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
-        panel = (source.annual_panel if f.annual else source.panel)(spark, sf_dir)
-        return compute(panel, name, **WEEKS.get(name, {})).select("ts_code", "pos", F.expr(CUT).alias("value"))
+        return compute(factor_panel(spark, sf_dir, f.needs), name, **WEEKS.get(name, {})).select("ts_code", "pos", F.expr(CUT).alias("value"))
 
     run.__doc__ = f"The {f.family} factor {name} on the weekly panel."
     return run
@@ -37,7 +45,9 @@ def factor_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def factor_sql(name: str) -> str:
     f = REGISTRY[name]
-    base = source.duck_sql(source.joined_sql() if f.annual else source.weekly_sql())
+    base = source.duck_sql(source.joined_sql() if f.needs == "annual" else source.weekly_sql())
+    if f.needs == "ff3":
+        base = f"SELECT p.*, mkt, smb, hml FROM ({base}) p JOIN ({report_queries.FF3_SQL}) USING (pos)"
     return f"SELECT ts_code, pos, {CUT} AS value FROM ({twin(base, name, **WEEKS.get(name, {}))})"
 
 

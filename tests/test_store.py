@@ -1,6 +1,7 @@
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.sources import store
 from tessera.streaming import ingest
@@ -38,6 +39,31 @@ def test_archives_resume(spark, tmp_path):
     assert sorted(r.ts_code for r in bars.collect()) == ["000001.SZ", "000002.SZ"]
     done = bars.where("ts_code = '000001.SZ'").select("zip_name", "member_path", "crc", "file_size")
     assert [r.ts_code for r in store.read_archives(spark, f"file://{tmp_path}", done).collect()] == ["000002.SZ"]
+    changed = done.withColumn("crc", F.col("crc") + 1)
+    with pytest.raises(Exception, match="ingested before"):
+        store.read_archives(spark, f"file://{tmp_path}", changed).collect()
+    for member, text, message in (("notes.csv", body, "not a CSV"), ("000003.SZ.csv", body.replace("2024", "2023"), "another year"), ("000003.SZ.csv", body.replace("1,2,0.5", "1,2,1.8"), "out of order")):
+        folder = tmp_path / message.replace(" ", "-")
+        folder.mkdir()
+        with zipfile.ZipFile(folder / "2024.zip", "w") as z:
+            z.writestr(member, text)
+        with pytest.raises(Exception, match=message):
+            store.read_archives(spark, f"file://{folder}").collect()
+
+
+def test_build_and_swap(spark, tmp_path):
+    target = f"file://{tmp_path}/table"
+    frame = lambda rows: spark.createDataFrame(rows, "k int, v string")
+    store.build_and_swap(frame([(1, "a")]), target, ["k"], ["k", "v"])
+    for bad in ([(1, "a"), (1, "b")], [(None, "a")], []):
+        with pytest.raises(ValueError):
+            store.build_and_swap(frame(bad), target, ["k"])
+    assert [tuple(r) for r in spark.read.parquet(target).collect()] == [(1, "a")]  # what fails its checks changes nothing
+    store.build_and_swap(frame([(2, "c")]), target, ["k"])
+    assert [tuple(r) for r in spark.read.parquet(target).collect()] == [(2, "c")]
+    (tmp_path / "table").rename(tmp_path / ".old-table")  # a crash between the two renames
+    store.recover(spark, target)
+    assert [tuple(r) for r in spark.read.parquet(target).collect()] == [(2, "c")]
 
 
 def test_stream_upserts(spark, tmp_path):
