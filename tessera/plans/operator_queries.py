@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from tessera.factors import price, statement  # noqa: F401
 from tessera.factors.spec import CUT, compute, twin
-from tessera.operators import crosssec, evaluate, joins, pit, quality
+from tessera.operators import crosssec, evaluate, frames, joins, pit, quality
 from tessera.session import ship
 from tessera.sources import panel as source
 
@@ -90,13 +90,8 @@ SELECT day, ts_code, fy, quarter, value FROM (
   SELECT m.day, r.ts_code, r.fy, r.quarter, r.value, row_number() OVER (PARTITION BY m.day, r.ts_code, r.fy, r.quarter ORDER BY r.effective DESC, r.seq DESC) AS rn
   FROM ({MONTHS}) m JOIN ({REVISIONS}) r ON r.effective < m.day AND r.fy >= year(m.day) - 1) WHERE rn = 1"""), text="day")
 def j6(spark, sf_dir):
-    """Revisions become intervals first, so each month meets one revision of a report, not all of them."""
-    r = sql(spark, sf_dir, DAILY)
-    spans = r.withColumn("until", F.lead("effective").over(Window.partitionBy("ts_code", "fy", "quarter").orderBy("effective")))
-    months = sql(spark, sf_dir, MONTHS)
-    first, last = F.trunc(F.add_months("effective", 1), "month"), F.least(F.coalesce(F.trunc("until", "month"), F.lit("9999-01-01").cast("date")), F.make_date(F.col("fy") + 1, F.lit(12), F.lit(1)))
-    days = spans.where(first <= last).withColumn("day", F.explode(F.sequence(first, last, F.expr("interval 1 month"))))
-    return days.where((F.col("effective") < F.col("day")) & (F.col("until").isNull() | (F.col("until") >= F.col("day")))).join(F.broadcast(months), "day", "left_semi").select("day", "ts_code", "fy", "quarter", "value")
+    until = F.make_date(F.col("fy") + 1, F.lit(12), F.lit(1))
+    return frames.latest_revisions(sql(spark, sf_dir, DAILY), sql(spark, sf_dir, MONTHS), ["ts_code", "fy", "quarter"], until=until).select("day", "ts_code", "fy", "quarter", "value")
 
 
 MEMBER = "SELECT DISTINCT o_custkey % 100 AS ts_code, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS day, (o_custkey % 100 + CAST(quarter(o_orderdate) AS INT)) % 7 AS industry FROM {orders}"
@@ -120,11 +115,9 @@ def j12(spark, sf_dir):
     """Members of the latest snapshot of each day without the excluded ones."""
     l = t(spark, sf_dir, "lineitem")
     snap = l.where("l_suppkey % 3 <> quarter(l_shipdate) % 3").select(F.trunc("l_shipdate", "quarter").alias("snap"), F.col("l_suppkey").alias("ts_code")).distinct()
-    dates = snap.select("snap").distinct().withColumn("nxt", F.lead("snap").over(Window.partitionBy(F.lit(1)).orderBy("snap")))  # as many rows as quarters
     days = l.select(F.to_date("l_shipdate").alias("trade_date")).distinct()
-    of = days.join(F.broadcast(dates), (F.col("trade_date") >= F.col("snap")) & (F.col("nxt").isNull() | (F.col("trade_date") < F.col("nxt"))))
     out = t(spark, sf_dir, "events").where("event_type = 'error'").select((F.col("user_id") % 100).alias("ts_code"), F.month("ts").alias("m"), F.dayofmonth("ts").alias("d")).distinct()
-    members = of.join(snap, "snap").withColumns({"m": F.month("trade_date"), "d": F.dayofmonth("trade_date")})
+    members = frames.snapshot_members(days, snap).withColumns({"m": F.month("trade_date"), "d": F.dayofmonth("trade_date")})
     return members.join(out, ["ts_code", "m", "d"], "left_anti").select("trade_date", "ts_code")
 
 
@@ -192,7 +185,7 @@ def d13(spark, sf_dir):
     """The statuses of a day in their order, joined by pipes."""
     p = source.panel(spark, sf_dir)
     status = [("ST", F.col("ts_code") % 13 == F.col("pos") % 13), ("SUSPENDED", F.col("vol").isNull()), ("LIMIT_UP", F.abs(F.col("close") - F.col("high")) <= 1e-6), ("LIMIT_DOWN", F.abs(F.col("close") - F.col("low")) <= 1e-6)]
-    return p.withColumn("value", F.concat_ws("|", *[F.when(c, F.lit(s)) for s, c in status])).where("value <> ''").select("ts_code", "pos", "value")
+    return frames.statuses(p, status, ["ts_code", "pos"])
 
 
 PAID = "SELECT o_custkey % 100 AS ts_code, CAST(o_orderdate AS DATE) AS ex_date, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 AS INT) AS effective_date, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderkey % 50 AS DOUBLE) END AS cash FROM {orders}"
@@ -376,15 +369,13 @@ def w16(spark, sf_dir):
 
 @query("w20_week_end_closes", "SELECT l_suppkey AS ts_code, CAST(l_shipdate AS DATE) + CAST((5 - dayofweek(CAST(l_shipdate AS DATE)) + 7) % 7 AS INT) AS week, arg_max(l_extendedprice, l_shipdate::VARCHAR || lpad(l_orderkey::VARCHAR, 12, '0') || l_linenumber) AS close FROM lineitem GROUP BY ALL", text="week")
 def w20(spark, sf_dir):
-    l = t(spark, sf_dir, "lineitem").withColumn("week", F.next_day(F.date_sub(F.to_date("l_shipdate"), 1), "FRI"))
-    return l.groupBy(F.col("l_suppkey").alias("ts_code"), "week").agg(F.max_by("l_extendedprice", F.struct("l_shipdate", "l_orderkey", "l_linenumber")).alias("close"))
+    return frames.week_closes(t(spark, sf_dir, "lineitem"), "l_suppkey", "l_shipdate", "l_extendedprice", ["l_orderkey", "l_linenumber"])
 
 
 @query("s9_minute_bars", "SELECT user_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS bar, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS vol FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12' GROUP BY ALL")
 def s9(spark, sf_dir):
     e = t(spark, sf_dir, "events").where("ts >= timestamp'2024-01-05' AND ts < timestamp'2024-01-12'")
-    o = F.struct("ts", "event_id")
-    return e.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd HH").alias("bar")).agg(F.min_by("value", o).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", o).alias("close"), F.count(F.lit(1)).alias("vol"))
+    return frames.bars(e, ["user_id"], "ts", "value", ["event_id"])
 
 
 @query("d15_event_key", r"SELECT o_orderkey, sha256(concat_ws(chr(31), CAST(o_custkey AS VARCHAR), strftime(o_orderdate, '%Y%m%d'), coalesce(o_orderstatus, ''))) AS event_key FROM orders")

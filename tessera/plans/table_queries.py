@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.operators import joins, quality
-from tessera.plans.operator_queries import PROBES, WEEKLY, cut, cut_col, query, sql, t
+from tessera.operators import frames, joins, quality
+from tessera.plans.operator_queries import PROBES, REVISIONS, WEEKLY, asof_sql, cut, cut_col, query, sql, t
 from tessera.sources import panel as source
 from tessera.sources import store
 
@@ -51,12 +51,12 @@ def j11(spark, sf_dir):
     return t(spark, sf_dir, "orders").select("o_orderkey", F.min(F.year("o_orderdate")).over(Window.partitionBy("o_custkey")).alias("first_year"))
 
 
-@query("j14_previous_month_close", f"SELECT ts_code, m, close FROM (SELECT ts_code, date_trunc('month', trade_date) + INTERVAL 1 MONTH AS m, close, row_number() OVER (PARTITION BY ts_code, date_trunc('month', trade_date) ORDER BY pos DESC) AS rn FROM ({WEEKLY}) WHERE close IS NOT NULL) WHERE rn = 1".replace("SELECT ts_code, m, close FROM (", "SELECT ts_code, CAST(CAST(m AS DATE) AS VARCHAR) AS m, close FROM (", 1))
+@query("j14_previous_month_close", f"""
+WITH p AS (SELECT ts_code, pos, date_trunc('month', trade_date) AS m, close FROM ({WEEKLY})), e AS (SELECT m, max(pos) AS pos FROM p GROUP BY m)
+SELECT p.ts_code, p.pos, c.close AS month_close FROM p LEFT JOIN e ON e.m = p.m - INTERVAL 1 MONTH LEFT JOIN p c ON c.ts_code = p.ts_code AND c.pos = e.pos""")
 def j14(spark, sf_dir):
-    """The last raw close of each month, keyed by the month after it."""
-    p = source.panel(spark, sf_dir).where("close IS NOT NULL")
-    m = F.add_months(F.trunc("trade_date", "month"), 1)
-    return p.groupBy("ts_code", m.alias("m")).agg(F.max_by("close", "pos").alias("close")).withColumn("m", F.col("m").cast("string"))
+    """On each day the price of the last open day of the month before."""
+    return frames.previous_month_close(source.panel(spark, sf_dir)).select("ts_code", "pos", "month_close")
 
 
 @query("p2_range_and_membership", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1996-07-01' AND o_orderstatus IN ('F', 'O')")
@@ -65,12 +65,11 @@ def p2(spark, sf_dir):
     return o.where("o_orderdate >= timestamp_ntz'1996-01-01' AND o_orderdate < timestamp_ntz'1996-07-01'").where(F.col("o_orderstatus").isin("F", "O")).select("o_orderkey", "o_totalprice")
 
 
-@query("p11_leaks", "SELECT count(*) AS n FROM (SELECT 1 WHERE false)")
+@query("p11_leaks", f"SELECT ts_code, trade_date, effective FROM ({asof_sql('>=')}) WHERE effective >= trade_date", text="trade_date effective")
 def p11(spark, sf_dir):
-    """No strict as-of row uses a value on the day it became known or before."""
-    from tessera.plans.operator_queries import QUERIES
-
-    return quality.leaks(QUERIES["j4_asof_strict"](spark, sf_dir), "trade_date", "effective").agg(F.count(F.lit(1)).alias("n"))
+    """Rows of an inclusive as-of join that use a value on the day it became known."""
+    rows = joins.asof_join(sql(spark, sf_dir, PROBES), sql(spark, sf_dir, REVISIONS), ["ts_code"], "trade_date", "effective", ["value"], strict=False, order=["seq"])
+    return quality.leaks(rows, "trade_date", "effective").select("ts_code", "trade_date", "effective")
 
 
 @query("a13_keep_last", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1")
@@ -80,8 +79,7 @@ def a13(spark, sf_dir):
 
 @query("a14_last_values", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn <= 3")
 def a14(spark, sf_dir):
-    w = Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc())
-    return t(spark, sf_dir, "orders").withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("o_custkey", "o_orderkey")
+    return frames.top(t(spark, sf_dir, "orders"), ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()], 3).select("o_custkey", "o_orderkey")
 
 
 @query("a15_group_share", f"SELECT s_suppkey, {cut('s_acctbal / sum(s_acctbal) OVER (PARTITION BY s_nationkey)')} AS part FROM supplier")
@@ -153,22 +151,54 @@ def d23(spark, sf_dir):
     return source.annual_panel(spark, sf_dir).select("ts_code", "pos", F.col("a_revenue_ttm").alias("revenue"))
 
 
-@query("s18_replace_range", "SELECT o_orderkey, CASE WHEN o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1998-01-01' THEN o_totalprice + 1 ELSE o_totalprice END AS v FROM orders")
+@query("s15_factor_store", f"SELECT CAST(pos AS VARCHAR) AS trade_date, CAST(ts_code AS VARCHAR) AS ts_code, CASE WHEN pos BETWEEN 200 AND 250 THEN q * 2.0 ELSE q * 1.0 END AS q FROM (SELECT ts_code, 1000 + pos AS pos, q FROM ({WEEKLY}))".replace("BETWEEN 200 AND 250", "BETWEEN 1200 AND 1250"), numbers="q")
+def s15(spark, sf_dir):
+    """Saves a factor, saves a part of its range again, and reads the wide form."""
+    path = store.scratch(spark, "store")
+    p = source.panel(spark, sf_dir).select((1000 + F.col("pos")).cast("string").alias("trade_date"), F.col("ts_code").cast("string").alias("ts_code"), F.col("q").cast("double").alias("value"))
+    store.save_factor(spark, path, "q", p, "0", "9999")
+    store.save_factor(spark, path, "q", p.withColumn("value", F.col("value") * 2), "1200", "1250")
+    return store.read_factors(spark, path, ["q"])
+
+
+@query("s18_replace_range", "SELECT o_orderkey, CASE WHEN o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1998-01-01' THEN o_totalprice + 1 ELSE o_totalprice END AS v, year(o_orderdate) AS y FROM orders", numbers="y")
 def s18(spark, sf_dir):
-    """Deletes a date range and inserts its new rows."""
+    """A stored table, of which one year is deleted and inserted again."""
+    path = store.scratch(spark, "range")
+    o = t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("v"), F.year("o_orderdate").alias("y"))
+    store.replace_partitions(o, path, "y")
+    store.replace_partitions(o.where("y = 1997").withColumn("v", F.col("v") + 1), path, "y")
+    return spark.read.parquet(path)
+
+
+@query("d22_annual_values", f"""
+WITH s AS (SELECT ts_code, trade_date, (1990 + (q - q % 4) / 4) * 10000 + CASE q % 4 WHEN 0 THEN 331 WHEN 1 THEN 630 WHEN 2 THEN 930 ELSE 1231 END AS period, rd_exp_ttm AS value FROM ({WEEKLY}) WHERE q >= 0),
+k AS (SELECT ts_code, period, arg_max(value, trade_date) AS value FROM s WHERE period % 10000 = 1231 AND value IS NOT NULL AND trade_date <= DATE '2000-06-30' GROUP BY ALL),
+m AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY ts_code ORDER BY period DESC) <= 3), y AS (SELECT DISTINCT period FROM m ORDER BY period DESC LIMIT 3)
+SELECT c.ts_code, CAST(y.period AS BIGINT) AS period, m.value FROM (SELECT DISTINCT ts_code FROM m) c CROSS JOIN y LEFT JOIN m ON m.ts_code = c.ts_code AND m.period = y.period""")
+def d22(spark, sf_dir):
+    """The last three year-end values known on a day, years aligned over all stocks."""
+    period = F.expr("CAST((1990 + (q - q % 4) / 4) * 10000 + CASE q % 4 WHEN 0 THEN 331 WHEN 1 THEN 630 WHEN 2 THEN 930 ELSE 1231 END AS BIGINT)")
+    s = source.panel(spark, sf_dir).where("q >= 0").select("ts_code", "trade_date", period.alias("period"), F.col("rd_exp_ttm").alias("value"))
+    return frames.annual_values(s, "2000-06-30", "value", count=3).select("ts_code", "period", "value")
+
+
+@query("d24_year_end_values", f"SELECT ts_code, CAST(year(trade_date) AS INT) AS year, arg_max(ocf_yoy, trade_date) AS value FROM ({WEEKLY}) WHERE ocf_yoy IS NOT NULL AND year(trade_date) < 2001 GROUP BY ALL")
+def d24(spark, sf_dir):
+    return frames.year_end_values(source.panel(spark, sf_dir).withColumn("value", F.col("ocf_yoy")), 2001, "value").select("ts_code", "year", "value")
+
+
+@query("d12_new_columns", "SELECT o_orderkey, o_custkey, o_totalprice * 2 AS twice FROM orders")
+def d12(spark, sf_dir):
+    """An old table given a column that it did not have."""
     o = t(spark, sf_dir, "orders")
-    inside = (F.year("o_orderdate") == 1997)
-    return o.where(~inside).select("o_orderkey", F.col("o_totalprice").alias("v")).unionByName(o.where(inside).select("o_orderkey", (F.col("o_totalprice") + 1).alias("v")))
+    old = o.select("o_orderkey", "o_custkey")
+    return frames.new_columns(old, o.withColumn("twice", F.col("o_totalprice") * 2), ["o_orderkey"], ["twice"], ["o_orderkey", "o_custkey"])
 
 
-@query("s15_factor_store", f"SELECT CAST(pos AS VARCHAR) AS trade_date, CAST(ts_code AS VARCHAR) AS ts_code, CASE WHEN pos BETWEEN 200 AND 250 THEN q * 2.0 ELSE q * 1.0 END AS q FROM ({WEEKLY}) WHERE pos BETWEEN 150 AND 300", numbers="q")
-def s15(spark, sf_dir):
-    """Saves a factor, saves a part of its range again, and reads the wide form."""
-    import uuid
-
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tessera-store").rstrip("/")
-    path = f"{base}/store-{uuid.uuid4().hex}"
-    p = source.panel(spark, sf_dir).where("pos BETWEEN 150 AND 300").select(F.col("pos").cast("string").alias("trade_date"), F.col("ts_code").cast("string").alias("ts_code"), F.col("q").cast("double").alias("value"))
-    store.save_factor(spark, path, "q", p, "150", "300")
-    store.save_factor(spark, path, "q", p.withColumn("value", F.col("value") * 2), "200", "250")
-    return store.read_factors(spark, path, ["q"])
+@query("a6_collapse", "SELECT s_nationkey AS k, max(s_acctbal) AS s, (SELECT max(c_acctbal) FROM customer WHERE c_nationkey = s_nationkey) AS c FROM supplier GROUP BY s_nationkey UNION ALL SELECT c_nationkey, NULL, max(c_acctbal) FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier) GROUP BY c_nationkey")
+def a6(spark, sf_dir):
+    """Sparse sources of one key as one row."""
+    s = t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_acctbal").alias("s"))
+    c = t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_acctbal").alias("c"))
+    return frames.collapse([s, c], ["k"], ["s", "c"])

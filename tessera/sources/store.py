@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import datetime
 import io
 import re
+import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -13,6 +16,40 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh folder in the one that the cluster shares (``spark.checkpoint.dir``); a local one only where that is unset and the master is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not base and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(base or 'file://' + tempfile.gettempdir()).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def columns_of(spark: SparkSession, path: str) -> list[str] | None:
+    """The columns of a stored table; None if there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.parquet(path).columns if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else None
+
+
+def replace_partitions(df: DataFrame, path: str, by: str) -> None:
+    """Deletes the rows of the stored table that have a value of ``by`` that ``df`` has, and inserts ``df``: whole partitions are replaced, others are not read."""
+    df.repartition(by).write.partitionBy(by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def resume_from(staged: DataFrame | None, done: DataFrame | None, first: datetime.date, day: str = "report_date", again: int = 7) -> datetime.date:
+    """Where an interrupted download goes on: at the first of the month of the last staged row; without staged rows ``again`` days before the last stored one; else at ``first``."""
+    for table, back in ((staged, None), (done, again)):
+        last = table.agg(F.max(day)).first()[0] if table is not None else None
+        if last is not None:
+            return max(first, last.replace(day=1) if back is None else last - datetime.timedelta(days=back))
+    return first
+
+
+def write_constituents(members: DataFrame, path: str) -> None:
+    """Index members as one CSV, a row for each date and code, without repeats, sorted."""
+    members.select("trade_date", "ts_code").distinct().orderBy("trade_date", "ts_code").coalesce(1).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+
+
 def swap(spark: SparkSession, built: str, target: str) -> None:
     """Puts the folder ``built`` in the place of ``target``: the old one is renamed, then the new one, and the old one is deleted last. ``recover`` mends what a
     crash between leaves."""
