@@ -1,17 +1,18 @@
 """Lexical retrieval packing: BM25 neighbours fill each seed document's window.
 
-*Tokens.* Every whole text is encoded and ends with the id ``END``. Words between spaces are encoded once a worker and
+*Tokens.* Every whole text is encoded and ends with the id ``END``. Pieces of words are encoded once a worker and
 kept in a bounded dictionary; the library encodes what is new. The ids are written to the shared folder.
 
 *Statistics.* Document frequencies of all ids over all documents, their number and mean length; at most one row
 for each id of the vocabulary, which bounds what goes to the driver and into the tasks.
 
-*Shards.* Documents are range-partitioned by the least hash among their ids, then by a hash of the whole document, so documents with like
+*Shards.* Documents are range-partitioned by the least of two hashes among their ids, then by a hash of the whole document, so documents with like
 words meet and a group of copies of any size is split. A shard has about ``SHARD_TOKENS`` ids and an inverted
-index of its own: postings with BM25 weights under the statistics of the whole corpus.
+index of its own: postings with BM25 weights under the statistics of the whole corpus. A seed asks its own shard only: neighbours in other
+shards are not found.
 
-*Windows.* A document first fills whole windows of its own. Its rest is a seed (longest first) or a neighbour: the seed's
-``TERMS`` heaviest terms are looked up, and unused neighbours by falling score (ties by position) fill the window; the one that
+*Windows.* A document first fills whole windows of its own. Its rest is a seed (longest first) or a neighbour: all documents of the shard are scored
+for all of the seed's terms, and unused neighbours by falling score (ties by position) fill the window; the one that
 does not fit is cut, and its rest stays unused. Where no neighbour shares a term, the next unused rest is
 taken. So every window of a shard but the last is full, and the last is cut into sequences of powers of
 two: there is no padding.
@@ -27,8 +28,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import compress, repeat
-from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +41,17 @@ from tessera.llm.common import stage
 WINDOW = 2048
 END = 1
 SHARD_TOKENS = 8 << 20
-TERMS = 16
+#: Terms whose postings are rows of a matrix.
+ROWS = 512
 K1, B = 1.2, 0.75
-CACHE = 450_000
-SPACES = "\n\t\r\v\f"
-# Letters that lower-case to one letter each and are composed already; marks that the library takes together. It splits a
-# word of such letters and marks between the two.
-LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Pieces in a worker's dictionary, and characters that are cut into pieces at once.
+CACHE, CHARS = 400_000, 1 << 18
+SPACES = " \n\t\r\v\f"
+SPACE, LETTER, DIGIT, MARK, ODD = range(5)
+# Letters that lower-case to one letter each and are composed already; marks that the library takes together (but apostrophes, which begin
+# contractions, and the bar of the special tokens).
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]")
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{}~"
 
 BYTES = {b: c for c, b in byte_alphabet().items()}
 
@@ -61,8 +63,32 @@ def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[edge[:-1]], np.diff(edge)
 
 
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """For code points under 256, and one row for all others: what they are (``SPACE`` ...), and their lower case."""
+    kind, low = np.full(257, ODD, np.uint8), np.arange(257, dtype=np.uint32)
+    for c in map(chr, range(256)):
+        if c in SPACES:
+            kind[ord(c)] = SPACE
+        elif LATIN.fullmatch(c):
+            kind[ord(c)], low[ord(c)] = LETTER, ord(c.lower())
+        elif c in "0123456789":
+            kind[ord(c)] = DIGIT
+        elif c in MARKS:
+            kind[ord(c)] = MARK
+    return kind, low
+
+
+KIND, LOWER = _kinds()
+
+
 class WordTokenizer:
-    """A tokenizer that never joins text across spaces, with a dictionary of words."""
+    """A tokenizer that never joins text across spaces, for many texts at a time.
+
+    Texts are cut into pieces by array operations, as the library's pattern cuts them: runs of letters, single digits and runs of marks; a word with
+    any other character is one piece. Pieces are told apart by 64-bit polynomial hashes (prefix sums), and each distinct one is looked up
+    once; the library's model encodes new pieces of letters, digits and marks, the whole library the others. The dictionary keeps at most ``CACHE``
+    pieces, those used last.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -73,69 +99,133 @@ class WordTokenizer:
         self.lib.no_padding()
         self.size = self.lib.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.words: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {"": b""}
         self.model = self.lib.model
-        probe = ["the", "été", "straße", "ñ", "!", "...", "?!", "ÿ", "internationalisierung", "__"]
-        self.direct = list(self._single(probe)) == self._lib(probe)
+        probe = ["the", "été", "straße", "ñ", "!", "...", "?!", "ÿ", "internationalisierung", "__", "7"]
+        rng = np.random.default_rng(11)
+        self.code = rng.integers(0, 2**64, 257, np.uint64)
+        odd = int(rng.integers(0, 2**62)) * 2 + 1
+        with np.errstate(over="ignore"):
+            self.power = np.cumprod(np.full(2 * CHARS + 2, odd, np.uint64))
+            self.inverse = np.cumprod(np.full(2 * CHARS + 2, pow(odd, -1, 1 << 64), np.uint64))
+        self.known: dict[int, int] = {}
+        self.hashes, self.begin, self.length, self.flat = array("Q"), array("q"), array("q"), array(self.kind.char)
+        self.used, self.clock = np.zeros(CACHE, np.int64), 0
+        # The model takes lower-case pieces without normalising and splitting again, if it gives what the library gives.
+        self.direct = True
+        self.direct = all(x.tobytes() == y for x, y in zip(self.encode_batch(probe), self._lib(probe), strict=True))
 
     def _lib(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.lib.encode_batch(words, add_special_tokens=False)]
 
-    def _single(self, words: list[str]) -> Iterator[bytes]:
-        """Ids of lower-case words that are one piece each: the model takes them without normalising and splitting again."""
-        tokenize, code = self.model.tokenize, self.kind.char
-        for w in words:
-            yield array(code, [x.id for x in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(BYTES))]).tobytes()
-
-    def learn(self, words: set[str]) -> None:
-        """Puts words into the dictionary."""
-        if len(self.words) > CACHE:
-            self.words = {"": b""}
-        if len(self.parts) > 2 * CACHE // 3:
-            self.parts = {"": b""}
-        split, rest, new = [], [], {}
-        for w in words:
-            a = w.rstrip(MARKS)
-            if a.isalpha() and (a.isascii() or LATIN.fullmatch(a)):
-                low, mark = a.lower(), w[len(a) :]
-                split.append((w, low, mark))
-                if low not in self.parts:
-                    new[low] = None
-                if mark not in self.parts:
-                    new[mark] = None
+    def _learn(self, hashes: list[int], pieces: list[str], odd: list[bool]) -> None:
+        tokenize, known, flat, n = self.model.tokenize, self.known, self.flat, len(self.hashes)
+        rest = iter(self._lib([w for w, o in zip(pieces, odd, strict=True) if o or not self.direct]))
+        size = []
+        for w, o in zip(pieces, odd, strict=True):
+            if o or not self.direct:
+                ids = np.frombuffer(next(rest), self.kind).tolist()
             else:
-                rest.append(w)
-        fresh = list(new)
-        self.parts.update(zip(fresh, self._single(fresh) if self.direct else self._lib(fresh), strict=True))
-        self.words.update(zip(rest, self._lib(rest), strict=True))
-        parts = self.parts
-        for w, low, mark in split:
-            self.words[w] = parts[low] + parts[mark]
+                w = w.lower()
+                ids = [x.id for x in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(BYTES))]
+            flat.extend(ids)
+            size.append(len(ids))
+        known.update(zip(hashes, range(n, n + len(hashes)), strict=True))
+        length = np.array(size, np.int64)
+        self.hashes.extend(hashes)
+        self.begin.frombytes((len(flat) - length.sum() + np.cumsum(length) - length).tobytes())
+        self.length.frombytes(length.tobytes())
+
+    def _forget(self, room: int) -> None:
+        """Keeps the pieces used last, about half of them, if ``room`` more would not fit."""
+        n = len(self.hashes)
+        if n + room <= len(self.used):
+            return
+        used = self.used[:n]
+        kept = np.flatnonzero(used > np.partition(used, n // 2)[n // 2]) if n else np.zeros(0, np.int64)
+        begin, length = np.array(self.begin)[kept], np.array(self.length)[kept]
+        flat, hashes = self._gather(begin, length), np.array(self.hashes)[kept]
+        self.hashes, self.begin, self.length, self.flat = array("Q", hashes.tobytes()), array("q", (np.cumsum(length) - length).tobytes()), array("q", length.tobytes()), array(self.kind.char, flat.tobytes())
+        self.known = dict(zip(hashes.tolist(), range(len(hashes)), strict=True))
+        self.used = np.concatenate([used[kept], np.zeros(max(CACHE, room), np.int64)])
+
+    def _gather(self, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        flat = np.frombuffer(self.flat, self.kind) if len(self.flat) else np.zeros(0, self.kind)
+        return flat[np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))]
+
+    def _encode(self, text: str, edges: list[int]) -> list[np.ndarray]:
+        """The ids of each stretch of ``text`` between two edges; spaces are at the edges."""
+        point = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        small = np.minimum(point, 256)
+        kind = KIND[small]
+        gap = kind == SPACE
+        before = np.concatenate([[True], gap[:-1]])
+        value = self.code[LOWER[small]]
+        if (kind == ODD).any():
+            word = np.cumsum(before & ~gap)
+            bad = np.zeros(int(word[-1]) + 1, bool)
+            bad[word[kind == ODD]] = True
+            bad = bad[word] & ~gap
+            kind = np.where(bad, ODD, kind)
+            value[bad] = (point[bad].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        first = ~gap & (before | (kind == DIGIT) | np.concatenate([[True], kind[1:] != kind[:-1]]))
+        last = ~gap & np.concatenate([first[1:] | gap[1:], [True]])
+        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        total = np.zeros(len(value) + 1, np.uint64)
+        np.cumsum(value * self.power[: len(value)], out=total[1:])
+        hashes = (total[end] - total[start]) * self.inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+        self._forget(len(distinct))
+        keys = distinct.tolist()
+        new = [k for k, h in enumerate(keys) if h not in self.known]
+        if new:
+            where = at[new]
+            self._learn([keys[k] for k in new], [text[a:b] for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)], (kind[start[where]] == ODD).tolist())
+        entry = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        self.clock += 1
+        self.used[entry] = self.clock
+        length = np.array(self.length)[entry][back] if len(keys) else np.zeros(0, np.int64)
+        ids = self._gather(np.array(self.begin)[entry][back], length) if len(keys) else np.zeros(0, self.kind)
+        upto = np.concatenate([[0], np.cumsum(length)])[np.searchsorted(start, edges)]
+        return [ids[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        cut, got, missing = [], [], []
-        new: set[str] = set()
+        out: list[np.ndarray] = []
+        held: list[str] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal size
+            if held:
+                out.extend(self._encode("\n".join([*held, ""]), np.cumsum([0, *[len(t) + 1 for t in held]]).tolist()))
+            held.clear()
+            size = 0
+
         for t in texts:
-            for c in SPACES:
-                if c in t:
-                    t = t.replace(c, " ")
-            words = t.split(" ")
-            ids = list(map(self.words.get, words))
-            gaps = list(compress(range(len(ids)), map(is_, ids, repeat(None))))
-            new.update([words[k] for k in gaps])
-            cut.append(words)
-            got.append(ids)
-            missing.append(gaps)
-        self.learn(new)
-        out = []
-        for words, ids, gaps in zip(cut, got, missing, strict=True):
-            for k in gaps:
-                ids[k] = self.words[words[k]]
-            out.append(np.frombuffer(b"".join(ids), self.kind))
+            if len(t) > CHARS:  # a long text goes in parts that end at spaces; a longer stretch without one goes to the library
+                flush()
+                parts = [self._encode(x + "\n", [0, len(x) + 1])[0] if len(x) <= CHARS else np.frombuffer(self._lib([x])[0], self.kind) for x in stretches(t)]
+                out.append(np.concatenate(parts))
+                continue
+            if size + len(t) > CHARS:
+                flush()
+            held.append(t)
+            size += len(t) + 1
+        flush()
         return out
 
 
+def stretches(text: str) -> Iterator[str]:
+    """Parts of a text of at most ``CHARS`` characters, cut at a space; longer only where there is no space."""
+    at = 0
+    while at < len(text):
+        end = at + CHARS
+        if end < len(text):
+            cut = max(text.rfind(c, at, end) for c in SPACES)
+            end = cut if cut > at else min((k for c in SPACES if (k := text.find(c, end)) >= 0), default=len(text))
+        yield text[at:end]
+        at = max(end, at + 1)
+
+
 _open: dict[str, WordTokenizer] = {}
 
 
@@ -160,9 +250,12 @@ def _tokens(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
         for a in range(0, whole.num_rows, 256):
             batch = whole.slice(a, 256)
             ids = [np.concatenate([x, end]) for x in tok.encode_batch([t or "" for t in batch.column(1).to_pylist()])]
-            route = [int(mixed(x).min()) for x in ids]
+            hashes = [mixed(x) for x in ids]
+            route = [int(h.min()) for h in hashes]
+            # A second least hash, then the document's own.
+            spread = [int((h * np.uint32(0xC2B2AE35)).min()) << 31 | zlib.crc32(x.tobytes()) >> 1 for h, x in zip(hashes, ids, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(route, pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
+                [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(route, pa.int64()), pa.array(spread, pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
                 names=["id", "n", "route", "spread", "ids"],
             )
 
@@ -194,33 +287,44 @@ def statistics(tokens: DataFrame, size: int, width: int) -> tuple[np.ndarray, in
 
 
 class Index:
-    """Postings of a shard: for each term its documents and their BM25 weights."""
+    """Postings of a shard: for each term its documents and their BM25 weights; the terms of many documents are rows of a matrix instead."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         size = np.array([len(d) for d in docs], np.int64)
         norm = K1 * (1 - B + B * size / mean)
-        terms, weights, self.query = [], [], []
+        terms, weights = [], []
         for k, d in enumerate(docs):
             t, tf = distinct(d)
-            w = (idf[t] * (tf * (K1 + 1) / (tf + norm[k]))).astype(np.float32)
             terms.append(t)
-            weights.append(w)
-            # The heaviest terms, for the document's query; ties by id.
-            top = np.flatnonzero(w >= np.partition(w, -TERMS)[-TERMS]) if len(t) > TERMS else np.arange(len(t))
-            self.query.append(t[top[np.argsort(-w[top], kind="stable")[:TERMS]]])
-        count = [len(t) for t in terms]
+            weights.append((idf[t] * (tf * (K1 + 1) / (tf + norm[k]))).astype(np.float32))
+        count = np.array([len(t) for t in terms], np.int64)
         term = np.concatenate(terms) if terms else np.zeros(0, np.uint16)
-        order = np.argsort(term, kind="stable")
-        self.doc = np.repeat(np.arange(len(docs)), count)[order]
-        self.weight = (np.concatenate(weights) if weights else np.zeros(0, np.float32))[order]
-        self.begin = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(idf)))])
+        weight = np.concatenate(weights) if weights else np.zeros(0, np.float32)
+        doc = np.repeat(np.arange(len(docs), dtype=np.int32), count)
+        df = np.bincount(term, minlength=len(idf))
+        often = np.flatnonzero(df > len(docs) // 64)
+        often = often[np.argsort(-df[often], kind="stable")[:ROWS]]
+        column = np.full(len(idf), -1, np.int32)
+        column[often] = np.arange(len(often))
+        dense = column[term] >= 0
+        self.matrix = np.zeros((len(often), len(docs)), np.float32)
+        self.matrix[column[term[dense]], doc[dense]] = weight[dense]
+        self.cut = np.concatenate([[0], np.cumsum(count)])
+        self.terms, self.column = term, column
+        rare = np.flatnonzero(~dense)
+        order = rare[np.argsort(term[rare], kind="stable")]
+        self.doc, self.weight = doc[order], weight[order]
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(term[rare], minlength=len(idf)))])
         self.n = len(docs)
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 score of every document for the seed's heaviest terms."""
-        cut = [(self.begin[t], self.begin[t + 1]) for t in self.query[seed]]
-        doc = np.concatenate([self.doc[a:b] for a, b in cut])
-        return np.bincount(doc, np.concatenate([self.weight[a:b] for a, b in cut]), self.n)
+        """BM25 scores of all documents for all terms of the seed."""
+        t = self.terms[self.cut[seed] : self.cut[seed + 1]]
+        row = self.column[t]
+        t = t[row < 0].astype(np.int64)
+        n = self.begin[t + 1] - self.begin[t]
+        at = np.repeat(self.begin[t] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.bincount(self.doc[at], self.weight[at], self.n) + self.matrix[row[row >= 0]].sum(axis=0)
 
 
 def pack(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:
