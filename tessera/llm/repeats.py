@@ -152,7 +152,7 @@ class _Sender:
         yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int32()), pa.array(empty, pa.int64()), pa.array(empty, pa.int64()), pa.array(data, pa.binary())], schema=SENT)
         if self.answers:
             i, m, b = zip(*self.answers, strict=True)
-            to = [x % self.owners for x in m]
+            to = [(x ^ y) % self.owners for x, y in zip(i, m, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(i, pa.int64()), pa.array(m, pa.int64()), pa.array(b, pa.binary())], schema=SENT)
 
 
