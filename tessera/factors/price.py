@@ -102,7 +102,7 @@ def VWAP0(e: Sql) -> Layers:
 
 @factor("momentum", n=20)
 def BETA(e: Sql, n: int) -> Layers:
-    return [{"value": e.div(e.over("regr_slope(close, pos)", n - 1), "close")}]
+    return [{"value": e.div(e.regr("slope", "close", "pos", n - 1), "close")}]
 
 
 def diffs(e: Sql, x: str) -> dict[str, str]:
@@ -231,7 +231,7 @@ def MA(e: Sql, n: int) -> Layers:
 
 @factor("reversal", n=20)
 def RESI(e: Sql, n: int) -> Layers:
-    fit = f"({e.over('regr_intercept(close, pos)', n - 1)} + {e.over('regr_slope(close, pos)', n - 1)} * pos)"
+    fit = f"({e.regr('intercept', 'close', 'pos', n - 1)} + {e.regr('slope', 'close', 'pos', n - 1)} * pos)"
     return [{"value": e.div(f"close - {fit}", "close")}]
 
 
@@ -293,7 +293,7 @@ def TurnoverCV(e: Sql, n: int, least: int) -> Layers:
 @factor("liquidity", half=21)
 def UnexplainedVolume(e: Sql, half: int) -> Layers:
     r = {"ar": f"abs({e.div('close', e.lag('close', 1))} - 1)"}
-    fit = {"b": e.over("regr_slope(vol, ar)", 2 * half - 1, half), "a": e.over("regr_intercept(vol, ar)", 2 * half - 1, half)}
+    fit = {"b": e.regr("slope", "vol", "ar", 2 * half - 1, half), "a": e.regr("intercept", "vol", "ar", 2 * half - 1, half)}
     both = "CASE WHEN vol IS NOT NULL AND ar IS NOT NULL THEN {} END"
     now = {"mv": e.over(f"avg({both.format('vol')})", half - 1), "mr": e.over(f"avg({both.format('ar')})", half - 1)}
     return [r, fit, now, {"value": "mv - a - b * mr"}]

@@ -91,6 +91,11 @@ class Sql:
         top = f"aggregate(slice(sort_array({h}, false), 1, {n}), 0D, (a, e) -> a + e)"
         return f"CASE WHEN size({h}) >= {n} THEN {top} / {n} END"
 
+    def regr(self, what: str, y: str, x: str, k: int, to: int = 0) -> str:
+        """``regr_slope`` and the like; NULL with fewer than two pairs."""
+        pairs = self.over(f"count(CASE WHEN ({y}) IS NOT NULL AND ({x}) IS NOT NULL THEN 1 END)", k, to)
+        return f"CASE WHEN {pairs} >= 2 THEN {self.over(f'regr_{what}({y}, {x})', k, to)} END"
+
     def corr(self, a: str, b: str, k: int, least: int = 2) -> str:
         """Correlation of pairs; NULL where a side does not vary."""
         both = f"({a}) IS NOT NULL AND ({b}) IS NOT NULL"
