@@ -8,7 +8,7 @@ read twice), and joins findings back to every path. Raising a rule's version mak
 
 Positions are code points, end exclusive. They are found without Python: ``split`` gives the
 stretches between the matches of a pattern and ``regexp_extract_all`` the matches, and running
-lengths of both give the positions.
+lengths of both give the positions, ``CHUNK`` matches at a time, so a text's cost is in proportion to its matches.
 
 Defined results: null text is an empty text without findings; rows that repeat a path are each
 returned; an empty table gives an empty table and an empty ledger; other columns are ignored by ``scan`` and
@@ -17,6 +17,7 @@ passed on by ``redact``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,29 +47,51 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
 )
+CHUNK = 128
 LEDGER = "blob string, rule string, rule_version int, spans array<struct<start:long,end:long>>"
 SPAN = "struct<start:bigint,end:bigint>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once (a lambda's variable), where ``body`` reads it in lambdas of its own."""
+    return F.transform(F.array(value), body)[0]
+
+
+def chunked(rows: Column, total: Callable[[Column], Column], step: Callable[[Column, Column], Column], rest: Callable[[Column, Column], Column], start: Column, width: int = CHUNK) -> Column:
+    """The flattened ``rest(state, chunk)`` of the chunks of an array, ``state`` being the sum (``step``) of the ``total`` of the chunks before.
+
+    Within a chunk work may be in proportion to its square; over all it is in proportion to the number of rows.
+    """
+
+    def of_chunks(chunks: Column) -> Column:
+        states = F.aggregate(F.transform(chunks, total), F.array(start), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x))))
+        return let(states, lambda s: F.flatten(F.transform(chunks, lambda c, i: rest(F.get(s, i), c))))
+
+    n = lambda r: F.floor((F.size(r) - 1) / width).cast("int")
+    return let(rows, lambda r: let(F.transform(F.sequence(F.lit(0), n(r)), lambda i: F.slice(r, i * width + 1, F.lit(width))), of_chunks))
+
+
 def find(text: Column, rule: Rule) -> Column:
     """Array of (start, end) of a rule's matches in ``text``: leftmost, non-overlapping, failing ones dropped."""
     pattern = F.lit(rule.pattern)
-    hits = F.arrays_zip(
+    size = lambda x: F.char_length(F.coalesce(x, F.lit(""))).cast("long")
+    zipped = F.arrays_zip(
         F.split(text, rule.pattern, -1).alias("gap"),
         F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"),
         F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("value"),
     )
+    hits = F.transform(zipped, lambda x: F.struct(size(x["gap"]).alias("gap"), size(x["hit"]).alias("hit"), F.coalesce(F.char_length(x["value"]) >= rule.least, F.lit(False)).alias("ok")))
     none = F.array().cast(f"array<{SPAN}>")
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["gap"])
-        end = start + F.char_length(F.coalesce(x["hit"], F.lit("")))
-        ok = F.coalesce(F.char_length(x["value"]) >= rule.least, F.lit(False))
-        got = F.when(ok, F.array(F.struct(start.alias("start"), end.alias("end")))).otherwise(none)
+        start = acc["at"] + x["gap"]
+        end = start + x["hit"]
+        got = F.when(x["ok"], F.array(F.struct(start.alias("start"), end.alias("end")))).otherwise(none)
         return F.struct(end.alias("at"), F.concat(acc["out"], got).alias("out"))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
-    return F.when(text.rlike(rule.pattern), F.aggregate(hits, start, step, lambda a: a["out"])).otherwise(none)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + x["gap"] + x["hit"])
+    spans = chunked(hits, total, lambda a, b: a + b, lambda at, c: F.aggregate(c, F.struct(at.alias("at"), none.alias("out")), step, lambda a: a["out"]), F.lit(0).cast("long"))
+    return F.when(text.rlike(rule.pattern), spans).otherwise(none)
 
 
 def open_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -141,13 +164,19 @@ def redact(docs: DataFrame, ledger_path: str | None = None, text_col: str = "tex
     ledger = update_ledger(versions, ledger_path or scratch(spark, "secret-ledger"), rules)
     found = findings(ledger, rules).select(F.col("blob").alias("_blob"), F.col("found").alias("_found"))
     text = whole(text_col)
+    zero = F.lit(0).cast("long")
+    last = lambda c: F.aggregate(c, zero, lambda at, s: F.greatest(at, s["end"]))
+
+    def pieces(at: Column, chunk: Column) -> Column:
+        """What is left of the text from ``at`` to the chunk's last start, with masks; positions count from ``at`` in the stretch of text that the chunk needs."""
+
+        def step(acc: Column, s: Column) -> Column:
+            gap = F.when(s["start"] < acc["at"], F.lit("")).otherwise(F.concat(F.substring(acc["text"], acc["at"] - at + 1, s["start"] - acc["at"]), F.lit(mask)))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["text"].alias("text"), F.concat(acc["out"], F.array(gap)).alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        gap = F.when(inside, F.lit("")).otherwise(F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(gap)).alias("out"))
+        here = F.substring(text, at + 1, F.greatest(F.element_at(chunk, -1)["start"] - at, zero))
+        return F.aggregate(chunk, F.struct(at.alias("at"), here.alias("text"), F.array().cast("array<string>").alias("out")), step, lambda a: a["out"])
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    cut = F.aggregate("_found", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.char_length(text))))
+    cut = F.concat(F.array_join(chunked(F.col("_found"), last, F.greatest, pieces, zero), ""), F.substring(text, last(F.col("_found")) + 1, F.char_length(text)))
     joined = docs.withColumn("_blob", F.sha2(text, 256)).join(found, "_blob", "left")
     return joined.withColumn(text_col, F.when(F.col("_found").isNull(), F.col(text_col)).otherwise(cut)).select(*docs.columns)
