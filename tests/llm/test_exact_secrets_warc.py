@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tessera.llm import exact_dedup, secrets, warc
 
 SCHEMA = "doc_id long, text string, keep_id string"  # an extra column with a name the operator uses
@@ -33,9 +35,16 @@ def test_exact_against_brute_force(spark):
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     got = sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in exact_dedup.duplicates(df, capacity=2, max_depth=3).collect())
     assert got == want
-    kept = exact_dedup.deduplicate(df).collect()
-    assert sorted(norm(r.text) for r in kept) == sorted(best)
-    assert exact_dedup.duplicates(df.limit(0)).count() == 0
+    # Keys and digests that collide: chains, then bytes, tell the texts apart.
+    for weak in ({"key": lambda c: F.xxhash64(F.length(c))}, {"key": lambda c: F.lit(7).cast("long"), "digest": lambda c: F.substring(c, 1, 1)}):
+        got = exact_dedup.duplicates(df, **weak).collect()
+        assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in got) == want
+        assert sorted(norm(r.text) for r in exact_dedup.deduplicate(df, **weak).collect()) == sorted(best)
+    kept = exact_dedup.deduplicate(df.withColumns({"_key": F.lit(1), "_sha": F.lit("s"), "_len": F.lit(2)})).collect()
+    assert sorted(norm(r.text) for r in kept) == sorted(best) and {(r._key, r._sha, r._len) for r in kept} == {(1, "s", 2)}
+    assert exact_dedup.duplicates(df.limit(0)).count() == exact_dedup.deduplicate(df.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "ab " * 700_000, "x"), (2, "ab" * 700_000, "x")], SCHEMA)
+    assert [(r.doc_id, r.keep_id, r.kept) for r in exact_dedup.duplicates(long).orderBy("doc_id").collect()] == [(1, 1, True), (2, 1, False)]
 
 
 def brute_spans(text):
@@ -76,6 +85,27 @@ def test_redact_masks_overlaps_once(spark):
     assert got == {1: "a [SECRET] b", 2: None, 3: "clean", 4: "[SECRET], [SECRET]'"}
 
 
+def test_many_secrets_in_one_text(spark):
+    text = "".join(f" {'é' * (k % 3)}token=abc{k:05d}{'x' * (k % 5)}" for k in range(1500)) + " end"
+    df = spark.createDataFrame([(1, text), (2, "token=abcdef")], "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.found] for r in secrets.scan(df).collect()}
+    assert got[1] == brute_spans(text) and len(got[1]) == 1500
+    out, at = "", 0
+    for a, _, b, _ in brute_spans(text):
+        out, at = out + text[at:a] + "[SECRET]", b
+    assert {r.doc_id: r.text for r in secrets.redact(df).collect()} == {1: out + text[at:], 2: "[SECRET]"}
+
+
+def test_warc_without_ids_and_with_clashing_names(spark, tmp_path):
+    rows = [(None, "u", "p", 1), (None, "u", "p", 1), (3, "u", "p", 1), (None, "u", "q", 1), (None, "u", "q", 1), (5, "u", "z" * 3_000_000, 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, refers_to int")
+    path = f"file://{tmp_path}/warc"
+    got = warc.archive(df, path).collect()
+    assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in got) == sorted([("None", "revisit", 3), ("None", "revisit", 3), ("3", "response", None), ("None", "response", None), ("None", "response", None), ("5", "response", None)], key=str)
+    assert len({r.record_id for r in got}) == len(rows)
+    assert max(len(r.payload or "") for r in warc.read_archives(spark, path, with_payload=True).collect()) == 3_000_000
+
+
 def test_warc_round_trip(spark, tmp_path):
     tricky = "x\r\n\r\nWARC/1.1\r\nContent-Length: 0\r\n\r\n"
     rows = [(1, "u1", "a"), (2, None, "a"), (3, "u\n3", None), (4, "u4", ""), (5, "u5", tricky), (6, "u6", "é"), (6, "u6", "é")]
