@@ -27,7 +27,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 UND = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -217,14 +216,32 @@ def pooled(model: Model, texts: list[bytes], block: int = 2048) -> np.ndarray:
 
 
 def sample(docs: DataFrame, docs_per_lang: int = 256, pieces: int = 16, width: int = 96, id_col: str = "doc_id") -> tuple[list[bytes], list[str]]:
-    """The bounded training sample: at most ``docs_per_lang * pieces`` pieces of each language."""
+    """The bounded training sample: at most ``docs_per_lang * pieces`` pieces of each language, of the documents with the smallest hashes.
+
+    Hashes under a threshold that leaves about four times as many are sorted on the driver, so no task gathers a language. A language
+    of which the threshold leaves too few (its texts are null, or it is rare) is looked at again with a higher one.
+    """
     size = F.char_length("text")
     gap = F.greatest(F.floor(size / pieces), F.lit(width)).cast("int")
     cut = F.filter(F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring(F.col("text"), i * gap + 1, F.lit(width))), lambda s: s != "")
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col(id_col).isNotNull()).select("lang", F.xxhash64(id_col, "text").alias("h"), cut.alias("cut"))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    taken = rows.withColumn("n", first).where(F.col("n") <= docs_per_lang).select("lang", "n", "cut").collect()
-    taken.sort(key=lambda r: (r["lang"], r["n"]))
+    part = (F.xxhash64(id_col, "text") / F.lit(2.0**63) + 1) / 2
+    known = docs.where(F.col("lang").isNotNull() & F.col(id_col).isNotNull())
+    left = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row for each language
+    rows = known.where(F.col("text").isNotNull()).select("lang", part.alias("h"), cut.alias("cut"))
+    taken: list = []
+    wide = 4
+    while left:
+        share = {lang: min(1.0, wide * docs_per_lang / n) for lang, n in left.items()}
+        limits = docs.sparkSession.createDataFrame(list(share.items()), "lang string, share double")
+        by: dict[str, list] = {}
+        for r in rows.join(F.broadcast(limits), "lang").where(F.col("h") <= F.col("share")).select("lang", "h", "cut").collect():
+            by.setdefault(r["lang"], []).append(r)
+        done = [lang for lang in left if share[lang] == 1.0 or len(by.get(lang, ())) >= docs_per_lang]
+        for lang in sorted(done):
+            taken += sorted(by.get(lang, ()), key=lambda r: (r["h"], r["cut"]))[:docs_per_lang]
+            del left[lang]
+        wide *= 16
+    taken.sort(key=lambda r: r["lang"])
     return [s.encode() for r in taken for s in r["cut"]], [r["lang"] for r in taken for _ in r["cut"]]
 
 
