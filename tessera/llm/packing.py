@@ -324,7 +324,10 @@ class Index:
         t = t[row < 0].astype(np.int64)
         n = self.begin[t + 1] - self.begin[t]
         at = np.repeat(self.begin[t] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return np.bincount(self.doc[at], self.weight[at], self.n) + self.matrix[row[row >= 0]].sum(axis=0)
+        out = np.bincount(self.doc[at], self.weight[at], self.n).astype(np.float32)
+        for r in row[row >= 0].tolist():  # adding in place needs no copy of the rows
+            out += self.matrix[r]
+        return out
 
 
 def pack(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:
