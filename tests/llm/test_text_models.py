@@ -96,6 +96,10 @@ def test_pigeonhole_keys_find_every_close_pair(spark, m):
         near.append(x)
     masks = [k % 2**64 for k in simhash.masks(m)]
     assert all(any(int(a) & k == b & k for k in masks) for a, b in zip(f, near, strict=True))
+    for a, b in zip(f.tolist(), near, strict=True):  # and under one finer mask of each of those
+        for k in masks:
+            if a & k == b & k:
+                assert any(a & x == b & x for x in (y % 2**64 for y in simhash.finer(k, m)))
 
 
 def test_html_cases():
@@ -139,6 +143,16 @@ def test_word_tokenizer_equals_the_library():
         assert ids.tolist() == tok.lib.encode(t, add_special_tokens=False).ids
 
 
+def test_word_tokenizer_forgets_and_cuts_long_texts(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 200)
+    monkeypatch.setattr(packing, "CHARS", 500)
+    tok, rng = packing.WordTokenizer(tokenizer_path("word_bpe_49k.json")), random.Random(7)
+    for _ in range(20):
+        texts = [" ".join("".join(rng.choice("abcdeé.,7'") for _ in range(rng.randint(1, 9))) for _ in range(rng.choice([0, 5, 40, 300]))) for _ in range(6)] + ["x" * 1200, "a\n" * 700]
+        for t, ids in zip(texts, tok.encode_batch(texts), strict=True):
+            assert ids.tolist() == tok.lib.encode(t, add_special_tokens=False).ids
+
+
 def test_packing_holds_every_id_once(spark):
     rng = random.Random(8)
     texts = [" ".join(rng.choice("alpha beta gamma delta epsilon".split()) for _ in range(rng.choice([0, 3, 200, 5000]))) for _ in range(60)] + [None, ""]
@@ -165,6 +179,23 @@ def test_packing_holds_every_id_once(spark):
     assert packing.packed(spark.createDataFrame([], "doc_id long, text string"), path).count() == 0
 
 
+def test_scores_are_full_bm25():
+    rng = np.random.default_rng(3)
+    docs = [rng.choice(400, rng.integers(1, 120), p=np.arange(400, 0, -1) / 80_200).astype(np.uint16) for _ in range(150)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=400)
+    idf = np.log1p((150 - df + 0.5) / (df + 0.5))
+    mean = np.mean([len(d) for d in docs])
+    index = packing.Index(docs, idf, mean)
+    assert 0 < index.matrix.shape[0] < 400 and len(index.doc)  # both ways of keeping postings are used
+    for seed in (0, 7, 149):
+        want = np.zeros(150)
+        for k, d in enumerate(docs):
+            for t in set(docs[seed].tolist()):
+                tf = (d == t).sum()
+                want[k] += idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
+        assert np.allclose(index.scores(seed), want, rtol=1e-4)
+
+
 def test_packing_prefers_lexical_neighbours():
     a, b = np.arange(10, 110, dtype=np.uint16), np.arange(500, 600, dtype=np.uint16)
     docs = [np.tile(x, 5) for x in (a, b, a, b, a, b, a, b)]
