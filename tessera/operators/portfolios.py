@@ -126,5 +126,6 @@ def simulate(prices: DataFrame, groups: int, rebalance: int) -> DataFrame:
     """Daily net values of bucket portfolios: ``bucket, pos, nav, turnover``. See ``positions`` for the rules."""
     if isinstance(groups, bool) or groups < 2 or isinstance(rebalance, bool) or rebalance < 1:
         raise ValueError("two groups or more, and a rebalance of one day or more")
+    prices = prices.select("ts_code", "pos", "close", "suspended", "bucket").persist()  # read for the calendar, the signals, the trades and the daily values
     held = positions(prices, groups, rebalance).persist()  # read twice; the stocks held on trading days
     return net_values(prices, held, groups)
