@@ -8,8 +8,8 @@ fingerprints; it changes the cost, never the result.
 
 Equal fingerprints are collapsed before the join on blocks. A bucket (the fingerprints under one key) is not
 expanded into pairs: a search compares each newly reached fingerprint with those not reached yet and gives at most
-one tree link per fingerprint, so a group of near copies costs as many links as it has fingerprints. Buckets over ``limit`` are
-cut into parts, and every pair of parts is searched by a task of its own, so no task
+one tree link per fingerprint, so a group of near copies costs as many links as it has fingerprints. The open bits of buckets over ``limit`` are
+split into blocks in the same way, which makes C(m, k) smaller buckets of each; what is still over it is cut into parts, and every pair of parts is searched by a task of its own, so no task
 holds more than two parts and no link is lost. Components of the links come from ``components``.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other; a
@@ -19,7 +19,7 @@ other id; rows that repeat are each returned; an empty table gives an empty tabl
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -38,24 +38,35 @@ LIMIT = 32_768
 FEW = 16
 
 
-def fingerprint(text: str | None, words: int = 4, piece: int = 65_536) -> int:
-    """SimHash of the ``words``-word shingles of the whole text, A-Z lower-cased."""
+def shingle_hashes(text: str | None, words: int, piece: int = 65_536) -> Iterator[np.ndarray]:
+    """XXH64 of the ``words``-word shingles of the whole text in order, A-Z lower-cased, some at a time; none for a text without words."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return
     line = b" ".join(parts)
     n = max(1, len(parts) - words + 1)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     first = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
     last = (ends[words - 1 :] if len(parts) >= words else ends[-1:]).tolist()
     h = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
     for a in range(0, n, piece):
-        hashes = np.array([h(line[s:e], SEED) for s, e in zip(first[a : a + piece], last[a : a + piece], strict=True)], np.uint64)
+        yield np.array([h(line[s:e], SEED) for s, e in zip(first[a : a + piece], last[a : a + piece], strict=True)], np.uint64)
+
+
+def majority(pieces: Iterable[np.ndarray]) -> int:
+    """The 64 bits that are 1 in over half of all hashes."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in pieces:
         counts += np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, words: int = 4, piece: int = 65_536) -> int:
+    """SimHash of the ``words``-word shingles of the whole text, A-Z lower-cased."""
+    return majority(shingle_hashes(text, words, piece))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch], words: int, rows: int = 1024) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for a in range(0, whole.num_rows, rows):
@@ -152,18 +163,38 @@ def _search(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Rec
         yield out(keys, fps)
 
 
+def finer(mask: int, m: int, distance: int = DISTANCE) -> list[int]:
+    """Masks that split the bits that ``mask`` leaves open: fingerprints that agree under ``mask`` and are close agree under one of them too."""
+    bits = [b for b in range(64) if not mask >> b & 1]
+    edge = [len(bits) * i // m for i in range(m + 1)]
+    block = [sum(1 << b for b in bits[a:z]) for a, z in zip(edge, edge[1:], strict=False)]
+    out = [sum(c) for c in combinations(block, m - distance)]
+    return [x - (1 << 64) if x >> 63 else x for x in out]
+
+
+def _overfull(rows: DataFrame, limit: int) -> DataFrame:
+    """``key, parts`` of the buckets over ``limit``."""
+    big = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+    return stage(big.select("key", F.ceil(F.col("n") / limit).alias("parts")), "simhash-big")
+
+
 def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, limit: int = LIMIT, blocks: int | None = None) -> DataFrame:
     """``a, b``: links between distinct fingerprints (column ``fp``) that connect all within ``distance`` bits."""
     m = blocks or blocks_for(fps.count(), distance)
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(x))) for i, x in enumerate(masks(m, distance))])
+    of = masks(m, distance)
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(x))) for i, x in enumerate(of)])
     rows = fps.select(F.explode(keys).alias("key"), "fp")
-    big = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
-    big = stage(big.select("key", F.ceil(F.col("n") / limit).alias("parts")), "simhash-big")
+    big = _overfull(rows, limit)
     if big.take(1):
+        hot = fps.select(F.posexplode(keys).alias("mask", "key"), "fp").join(big, "key").select("mask", "key", "fp")
+        more = F.array(*[F.array(*[F.lit(x) for x in finer(x % (1 << 64), m, distance)]) for x in of])
+        split = F.transform(F.get(more, "mask"), lambda x, j: F.xxhash64("key", j, F.col("fp").bitwiseAND(x)))
+        hot = hot.select(F.explode(split).alias("key"), "fp")
+        rest = _overfull(hot, limit)
         part = F.pmod(F.xxhash64("fp"), "parts")
         pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.xxhash64("key", F.least(part, j), F.greatest(part, j)))
-        cut = rows.join(big, "key").select(F.explode(pairs).alias("key"), "fp")
-        rows = rows.join(big, "key", "left_anti").unionByName(cut)
+        cut = hot.join(rest, "key").select(F.explode(pairs).alias("key"), "fp")
+        rows = rows.join(big, "key", "left_anti").unionByName(hot.join(rest, "key", "left_anti")).unionByName(cut)
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _search(it, distance), "a long, b long")
 
 
