@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import byte_alphabet
-from tessera.llm.common import stage
+from tessera.llm.common import arrow_rows, discard, give_back, staged
 
 WINDOW = 2048
 END = 1
@@ -44,6 +44,8 @@ SHARD_TOKENS = 8 << 20
 #: Terms whose postings are rows of a matrix.
 ROWS = 512
 K1, B = 1.2, 0.75
+#: Documents that a worker is sent at once.
+SENT = 512
 #: Pieces in a worker's dictionary, and characters that are cut into pieces at once.
 CACHE, CHARS = 400_000, 1 << 18
 SPACES = " \n\t\r\v\f"
@@ -86,8 +88,8 @@ class WordTokenizer:
 
     Texts are cut into pieces by array operations, as the library's pattern cuts them: runs of letters, single digits and runs of marks; a word with
     any other character is one piece. Pieces are told apart by 64-bit polynomial hashes (prefix sums), and each distinct one is looked up
-    once; the library's model encodes new pieces of letters, digits and marks, the whole library the others. The dictionary keeps at most ``CACHE``
-    pieces, those used last.
+    once; the library's model encodes new pieces of letters, digits and marks, the whole library the others. The dictionary (arrays, about 20 bytes
+    a piece and 2 an id) keeps at most ``CACHE`` pieces, those used last.
     """
 
     def __init__(self, path: str):
@@ -107,9 +109,10 @@ class WordTokenizer:
         with np.errstate(over="ignore"):
             self.power = np.cumprod(np.full(2 * CHARS + 2, odd, np.uint64))
             self.inverse = np.cumprod(np.full(2 * CHARS + 2, pow(odd, -1, 1 << 64), np.uint64))
-        self.known: dict[int, int] = {}
-        self.hashes, self.begin, self.length, self.flat = array("Q"), array("q"), array("q"), array(self.kind.char)
-        self.used, self.clock = np.zeros(CACHE, np.int64), 0
+        # The dictionary: hashes in order and the entry of each; where an entry's ids begin in ``flat``, and how many they are.
+        self.known, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.begin, self.length, self.flat = array("i"), array("i"), array(self.kind.char)
+        self.used, self.clock = np.zeros(CACHE, np.int32), 0
         # The model takes lower-case pieces without normalising and splitting again, if it gives what the library gives.
         self.direct = True
         self.direct = all(x.tobytes() == y for x, y in zip(self.encode_batch(probe), self._lib(probe), strict=True))
@@ -117,8 +120,9 @@ class WordTokenizer:
     def _lib(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.lib.encode_batch(words, add_special_tokens=False)]
 
-    def _learn(self, hashes: list[int], pieces: list[str], odd: list[bool]) -> None:
-        tokenize, known, flat, n = self.model.tokenize, self.known, self.flat, len(self.hashes)
+    def _learn(self, pieces: list[str], odd: list[bool]) -> None:
+        """Makes an entry of each piece."""
+        tokenize, flat = self.model.tokenize, self.flat
         rest = iter(self._lib([w for w, o in zip(pieces, odd, strict=True) if o or not self.direct]))
         size = []
         for w, o in zip(pieces, odd, strict=True):
@@ -129,24 +133,25 @@ class WordTokenizer:
                 ids = [x.id for x in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(BYTES))]
             flat.extend(ids)
             size.append(len(ids))
-        known.update(zip(hashes, range(n, n + len(hashes)), strict=True))
         length = np.array(size, np.int64)
-        self.hashes.extend(hashes)
-        self.begin.frombytes((len(flat) - length.sum() + np.cumsum(length) - length).tobytes())
-        self.length.frombytes(length.tobytes())
+        self.begin.frombytes((len(flat) - length.sum() + np.cumsum(length) - length).astype(np.int32).tobytes())
+        self.length.frombytes(length.astype(np.int32).tobytes())
 
     def _forget(self, room: int) -> None:
         """Keeps the pieces used last, about half of them, if ``room`` more would not fit."""
-        n = len(self.hashes)
+        n = len(self.length)
         if n + room <= len(self.used):
             return
         used = self.used[:n]
         kept = np.flatnonzero(used > np.partition(used, n // 2)[n // 2]) if n else np.zeros(0, np.int64)
-        begin, length = np.array(self.begin)[kept], np.array(self.length)[kept]
-        flat, hashes = self._gather(begin, length), np.array(self.hashes)[kept]
-        self.hashes, self.begin, self.length, self.flat = array("Q", hashes.tobytes()), array("q", (np.cumsum(length) - length).tobytes()), array("q", length.tobytes()), array(self.kind.char, flat.tobytes())
-        self.known = dict(zip(hashes.tolist(), range(len(hashes)), strict=True))
-        self.used = np.concatenate([used[kept], np.zeros(max(CACHE, room), np.int64)])
+        begin, length = np.array(self.begin, np.int32)[kept], np.array(self.length, np.int32)[kept]
+        flat = self._gather(begin, length)
+        now = np.full(n, -1, np.int32)
+        now[kept] = np.arange(len(kept))
+        now = now[self.entry]
+        self.known, self.entry = self.known[now >= 0], now[now >= 0]
+        self.begin, self.length, self.flat = array("i", (np.cumsum(length) - length).astype(np.int32).tobytes()), array("i", length.tobytes()), array(self.kind.char, flat.tobytes())
+        self.used = np.concatenate([used[kept], np.zeros(max(CACHE, room), np.int32)])
 
     def _gather(self, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
         flat = np.frombuffer(self.flat, self.kind) if len(self.flat) else np.zeros(0, self.kind)
@@ -175,16 +180,24 @@ class WordTokenizer:
         hashes = (total[end] - total[start]) * self.inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
         self._forget(len(distinct))
-        keys = distinct.tolist()
-        new = [k for k, h in enumerate(keys) if h not in self.known]
-        if new:
-            where = at[new]
-            self._learn([keys[k] for k in new], [text[a:b] for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)], (kind[start[where]] == ODD).tolist())
-        entry = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        spot = np.searchsorted(self.known, distinct)
+        new = np.ones(len(distinct), bool)
+        inside = spot < len(self.known)
+        new[inside] = self.known[spot[inside]] != distinct[inside]
+        if new.any():
+            where, n = at[new], len(self.length)
+            self._learn([text[a:b] for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)], (kind[start[where]] == ODD).tolist())
+            self.known = np.insert(self.known, spot[new], distinct[new])
+            self.entry = np.insert(self.entry, spot[new], np.arange(n, n + len(where), dtype=np.int32))
+            spot += np.cumsum(new) - new
+        entry = self.entry[spot]
         self.clock += 1
         self.used[entry] = self.clock
-        length = np.array(self.length)[entry][back] if len(keys) else np.zeros(0, np.int64)
-        ids = self._gather(np.array(self.begin)[entry][back], length) if len(keys) else np.zeros(0, self.kind)
+        if len(entry):
+            length = np.frombuffer(self.length, np.int32)[entry][back].astype(np.int64)
+            ids = self._gather(np.frombuffer(self.begin, np.int32)[entry][back], length)
+        else:
+            length, ids = np.zeros(0, np.int64), np.zeros(0, self.kind)
         upto = np.concatenate([[0], np.cumsum(length)])[np.searchsorted(start, edges)]
         return [ids[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
 
@@ -258,6 +271,7 @@ def _tokens(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
                 [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(route, pa.int64()), pa.array(spread, pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
                 names=["id", "n", "route", "spread", "ids"],
             )
+    give_back()
 
 
 def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -444,19 +458,24 @@ def _pack(batches: Iterator[pa.RecordBatch], idf: np.ndarray, mean: float, width
                 ids, docs, held = [], [], 0
     if docs:
         yield from out(kind)
+    ids, docs = [], []
+    give_back()
 
 
 def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row per piece: ``id, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
     tok = open_tokenizer(path)
     width = tok.kind.itemsize
-    tokens = stage(tokenize(docs, path, id_col, text_col), "packing-tokens")
-    df, n, total = statistics(tokens, tok.size, width)
-    idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    mean = max(1.0, total / max(1, n))
-    shards = max(1, -(-total // shard_tokens))
+    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = tokens.select("id", "ids", "route", "spread").repartitionByRange(shards, "route", "spread", "id")
-    rows = rows.sortWithinPartitions("route", "spread", "id").select("id", "ids")
-    out = rows.mapInArrow(lambda it: _pack(it, idf, mean, width, shard_tokens), f"id {kind}, {PIECES}")
+    with arrow_rows(spark, SENT):
+        tokens, tokens_at = staged(tokenize(docs, path, id_col, text_col), "packing-tokens")
+        df, n, total = statistics(tokens, tok.size, width)
+        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        mean = max(1.0, total / max(1, n))
+        shards = max(1, -(-total // shard_tokens))
+        rows = tokens.select("id", "ids", "route", "spread").repartitionByRange(shards, "route", "spread", "id")
+        rows = rows.sortWithinPartitions("route", "spread", "id").select("id", "ids")
+        out = staged(rows.mapInArrow(lambda it: _pack(it, idf, mean, width, shard_tokens), f"id {kind}, {PIECES}"), "packing-pieces")[0]
+    discard(spark, tokens_at)
     return out.withColumnRenamed("id", id_col)

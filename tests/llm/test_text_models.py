@@ -1,4 +1,6 @@
+import os
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -6,7 +8,7 @@ import pytest
 import xxhash
 
 from tessera.llm import bpe, html_text, lang_id, packing, simhash
-from tessera.llm.common import tokenizer_path
+from tessera.llm.common import shared_dir, tokenizer_path
 
 
 def test_gradients_match_differences():
@@ -153,6 +155,36 @@ def test_word_tokenizer_forgets_and_cuts_long_texts(monkeypatch):
             assert ids.tolist() == tok.lib.encode(t, add_special_tokens=False).ids
 
 
+def test_word_tokenizer_dictionary_is_small():
+    tok, rng = packing.WordTokenizer(tokenizer_path("word_bpe_49k.json")), random.Random(9)
+    words = list({"".join(rng.choice("abcdeghilmnorstu") for _ in range(8)) for _ in range(40_000)})
+    tok.encode_batch(["a"])
+    tracemalloc.start()
+    for a in range(0, len(words), 2_000):
+        tok.encode_batch([" ".join(words[a : a + 2_000])])
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 64 * len(words)
+
+
+def test_packing_leaves_no_tokens_behind_and_restores_the_batch_size(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(i, f"word {i}") for i in range(20)], "doc_id long, text string")
+    assert packing.packed(docs, tokenizer_path("word_bpe_49k.json")).count() >= 20
+    assert not [x for x in os.listdir(shared_dir(spark).removeprefix("file://")) if x.startswith("packing-tokens")]
+    assert spark.conf.get(name) == before
+
+
+def test_packing_statistics_count_every_document(spark):
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(0, 300, rng.integers(0, 80)).astype("<u2") for _ in range(1500)]
+    rows = spark.createDataFrame([(d.tobytes(), len(d)) for d in docs], "ids binary, n long").repartition(7)
+    df, n, total = packing.statistics(rows, 300, 2)
+    assert df.tolist() == np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=300).tolist()
+    assert (n, total) == (1500, sum(map(len, docs)))
+
+
 def test_packing_holds_every_id_once(spark):
     rng = random.Random(8)
     texts = [" ".join(rng.choice("alpha beta gamma delta epsilon".split()) for _ in range(rng.choice([0, 3, 200, 5000]))) for _ in range(60)] + [None, ""]
